@@ -50,7 +50,7 @@ def grams(raw: bytes) -> np.ndarray:
             break
         code = (code[:-1] << np.uint64(8)) | x[n - 1 :]
         if n in SIZES:
-            h = (code + np.uint64(n) * np.uint64(0x51_7CC1B727220A95)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (code + np.uint64(n * 0x517CC1B727220A95 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
             out.append(h ^ (h >> np.uint64(32)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 

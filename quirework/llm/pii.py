@@ -211,6 +211,7 @@ def _example(rng: random.Random) -> tuple[list[str], list[tuple[int, int, str]]]
     """Words of a generated sentence and its gold segments."""
     word = lambda: "".join(rng.choice("aeiourstnlmdk") for _ in range(rng.randint(2, 8)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    failing = lambda d: d if not luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)
     words, gold = [word() for _ in range(rng.randint(1, 5))], []
     for _ in range(rng.randint(1, 2)):
         kind = rng.choice([*KINDS, "none", "none"])
@@ -230,7 +231,7 @@ def _example(rng: random.Random) -> tuple[list[str], list[tuple[int, int, str]]]
             cue = cue or not made.startswith(("+", "("))
         else:
             cue = False
-            made = rng.choice([num(rng.randint(1, 6)), f"{num(2)}.{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(2)}", f"key={num(4)}{word()}{num(6)}", f"${num(3)},{num(3)}", f"{word()} at {word()}", num(10), num(8), f"{num(4)} {num(4)}", f"{num(3)} {num(4)} {num(2)}", f"{num(3)}.{num(3)}.{num(1)}.{num(4)}"])
+            made = rng.choice([num(rng.randint(1, 6)), f"{num(2)}.{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(2)}", f"key={num(4)}{word()}{num(6)}", f"${num(3)},{num(3)}", f"{word()} at {word()}", num(10), num(8), f"{num(4)} {num(4)}", failing(num(16)), failing(num(rng.randint(13, 19))), failing(num(16)), f"{num(3)} {num(4)} {num(2)}", f"{num(3)}.{num(3)}.{num(1)}.{num(4)}"])
         if cue and kind in _CUES:
             words.append(rng.choice(sorted(_CUES[kind])) + rng.choice(["", ":"]))
         i = len(words)
