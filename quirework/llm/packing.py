@@ -149,6 +149,8 @@ def complete(left: np.ndarray, gap: int) -> list[int]:
     if not waste:
         return best
     sizes = [int(s) for s in np.flatnonzero(left[: gap + 1])[::-1]]
+    if not sizes:  # nothing fits
+        return best
     reach = np.cumsum([s * int(left[s]) for s in sizes[::-1]])[::-1].tolist()  # of this size and all smaller ones
     least, nodes = sizes[-1], 0
 
