@@ -361,7 +361,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         windows = staged(windows, "windows")
         same = windows.groupBy("a", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         spans = spans.unionByName(
-            windows.where("one").join(same, ["a", "k"], "left_semi").select("doc_id", "rid", "s", full.cast("int").alias("e"))
+            windows.where("one")
+            .join(same, ["a", "k"], "left_semi")
+            .select("doc_id", "rid", "s", (F.col("s") + F.lit(width)).cast("int").alias("e"))
         )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = few.repartition(n, "a").sortWithinPartitions("a")
