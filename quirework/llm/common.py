@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.shipping import ship
+
 #: Rows of an Arrow batch that goes to Python.  Texts have any length, so the
 #: batch is kept small enough for a worker's memory.
 ARROW_ROWS = 1024
@@ -48,21 +48,6 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Hand the package to the executors once per context, so that workers can
-    import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quirework_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="quirework-")) / "quirework.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(Path(top.name) / p.relative_to(top)))
-    sc.addPyFile(str(to))
-    sc._quirework_shipped = True
-
-
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

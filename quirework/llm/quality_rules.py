@@ -214,8 +214,8 @@ def oracle() -> str:
     value = "case stat " + " ".join(f"when '{s}' then {s}" for _, s, _ in RULES) + " end"
     return f"""
 with t as (select row_number() over () as rid, doc_id, lang as stratum, coalesce(text, '') as text from documents),
-w as (select rid, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') as ws,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) as ls from t),
+w as (select rid, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) as ls from t),
 g as (select rid, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
 gk as (select rid, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] as k from g),
 d as (select rid, i, count(*) over (partition by rid, k) as c from gk),
@@ -240,7 +240,7 @@ k as (select stratum, rule, cut, count(*) as n, count(*) filter (where {value} >
       from held, tests group by all),
 m as (select count(distinct coalesce('v' || stratum, 'n')) * {len(tests)} as m from held),
 pv as (select stratum, rule, cut, case when k >= n * {alpha} then 1 else list_sum(list_transform(range(0, k + 1),
-        j -> exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) end as p from k),
+        lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) end as p from k),
 c as (select stratum, rule, min(cut) as cut from pv, m where p <= {DELTA} / m group by all),
 bad as (select distinct f.doc_id from f join c on f.stratum is not distinct from c.stratum
         join tests on tests.rule = c.rule and tests.cut = c.cut where {value} >= c.cut)
