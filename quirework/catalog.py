@@ -1,7 +1,9 @@
-"""The queries over the driver's tables and their SQL."""
+"""All core queries and their SQL, for the driver."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quirework.plans.standard import ORACLES, QUERIES
+
+FLAGSHIP = "review_items"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
