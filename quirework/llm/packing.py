@@ -18,8 +18,9 @@ end id.  Repeated rows are packed each; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -35,9 +36,8 @@ WINDOW_ROWS = 200_000
 #: Fillings that a bin's completion tries at most; then its incumbent stands.
 NODES = 3000
 #: Pre-tokens that a worker keeps at most.
-CACHE = 700_000
+CACHE = 1_000_000
 _LOADED: dict[str, tuple] = {}
-_WHOLE = re.compile(r"\s[ \n]|[ \n]\s|\s\Z|^\s|[ \n]\Z|[^\S \n]")
 
 
 def load(path: str):
@@ -52,7 +52,10 @@ def load(path: str):
 
 
 def _raw(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -65,24 +68,21 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     feed = _raw(line_feed)
     cut, fresh, whole = [], set(), []
     for i, text in enumerate(texts):
-        if _WHOLE.search(text) or any(s in text for s in special):
+        # plain: words parted by single blanks or line feeds, no other white space
+        if "\x00" in text or " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in special):
             whole.append(i)
             cut.append(None)
             continue
         # a mark goes before each blank, so that it stays with its word
-        parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else None
-        if parts is None:
-            whole.append(i)
-        else:
-            fresh.update(parts)
+        parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        fresh.update(parts)
         cut.append(parts)
     cache[""], cache["\n"] = b"", feed
-    fresh.difference_update(cache)
-    if len(cache) + len(fresh) > CACHE:
+    new = [p for p in fresh if p not in cache]
+    if len(cache) + len(new) > CACHE:
         cache.clear()
         cache[""], cache["\n"] = b"", feed
-        fresh = {p for parts in cut if parts for p in parts} - {"", "\n"}
-    new = list(fresh)
+        new = [p for p in fresh if p not in cache]
     for i in range(0, len(new), 20_000):
         some = new[i : i + 20_000]
         for p, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -104,8 +104,8 @@ def cutter(path: str, size: int, end: int):
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for i, ids in enumerate(encode(texts[lo : lo + 256], path), lo):
+            for lo in range(0, len(texts), 1024):
+                for i, ids in enumerate(encode(texts[lo : lo + 1024], path), lo):
                     ids += tail
                     n = len(ids) // 4
                     s, k = 0, 0
