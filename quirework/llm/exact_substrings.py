@@ -2,7 +2,7 @@
 twice anywhere are removed.
 
 The method asked for (merging shard Burrows-Wheeler transforms by interleave
-refinement, see ``bwt_merge``) needs one pass over all merged bytes for each of
+refinement, module ``bwt``) needs one pass over all merged bytes for each of
 ``width`` symbols of depth, which the limits don't allow for whole texts (README
 has the figures).  The query therefore uses an exact, linear form of the same
 question:
