@@ -36,7 +36,7 @@ WINDOW_ROWS = 200_000
 #: Fillings that a bin's completion tries at most; then its incumbent stands.
 NODES = 3000
 #: Pre-tokens that a worker keeps at most.
-CACHE = 1_000_000
+CACHE = 800_000
 _LOADED: dict[str, tuple] = {}
 
 
