@@ -34,6 +34,8 @@ from quirework.llm.common import batch_of, map_arrow, staged, table, utf8
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints of a bucket that one task compares.
 CELL = 50_000
+#: Parts into which the rows of one fingerprint are dealt.
+SALTS = 256
 #: Pairs of a block.
 BLOCK = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -275,14 +277,17 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed) and component_id of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = staged(map_arrow(docs.select("doc_id", utf8().alias("raw")), printer, f"doc_id {kind}, fp long"), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # copies count once per part first, so no task meets all rows of a fingerprint
+    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
+    distinct = parts.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts"))
     roots = components(links(distinct.select("fp")))
     nodes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "salts", F.coalesce("root", "fp").alias("root")
     )
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = nodes.join(names, "root").select("fp", F.explode("salts").alias("salt"), "component_id")
+    return prints.join(named, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
