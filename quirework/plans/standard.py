@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.functions import maths
 from quirework.functions import text as T
 from quirework.operators import blocks as B
-from quirework.operators import cleanup, doubt, library, metrics, review, tables, translation
+from quirework.operators import cleanup, doubt, headings, library, metrics, review, tables, translation
 from quirework.shipping import ship
 
 QUERIES: dict = {}
@@ -512,3 +513,27 @@ def order_scores(spark, sf_dir):
     p = pages(spark, sf_dir)
     x = p.withColumnRenamed("text", "reference").join(altered(p).withColumnRenamed("text", "output"), ["book", "page"])
     return metrics.order_scores(x, ["book"]).withColumn("order", F.round("order", 9))
+
+
+@query(
+    "select item_id, '## ' || array_to_string(string_split(text, ' ')[1:4], ' ') || "
+    "coalesce(chr(10) || chr(10) || nullif(array_to_string(string_split(text, ' ')[5:], ' '), ''), '') as text from benchmark"
+)
+def applied_headings(spark, sf_dir):
+    """Each item's first four words become a heading of level 2."""
+    first = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    heading = F.array(F.struct(first.alias("text"), F.lit(2).alias("level")))
+    x = read(spark, sf_dir, "benchmark").withColumn("headings", heading)
+    return headings.with_headings(x).select("item_id", "text")
+
+
+@query(
+    "select n_nationkey, 'N<sub>' || n_nationkey || '</sub><sup>' || n_regionkey || '</sup> × R<sub>' || substr(n_regionkey::varchar, 1, 1) || '</sub>' as html, "
+    "null::varchar as unknown from nation"
+)
+def math_html(spark, sf_dir):
+    ship(spark)
+    tex = F.concat(F.lit(r"\mathrm{N}_{"), "n_nationkey", F.lit("}^{"), "n_regionkey", F.lit(r"} \times R_"), "n_regionkey")
+    return read(spark, sf_dir, "nation").select(
+        "n_nationkey", maths.simple_math(tex).alias("html"), maths.simple_math(F.concat(F.lit(r"\frac"), tex)).alias("unknown")
+    )

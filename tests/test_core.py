@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework import catalog
+from quirework.functions import maths
 from quirework.functions import text as T
 from quirework.operators import blocks as B
-from quirework.operators import cleanup, doubt, images, library, metrics, review, tables, translation
+from quirework.operators import cleanup, doubt, headings, images, library, metrics, review, tables, translation
 from quirework.sources import readers, writers
 from quirework.streaming import progress
 
@@ -237,3 +238,35 @@ def test_epub_round_trip(spark):
     assert got == [(0, 0, "h1", "One", True), (0, 1, "p", "First & last", False), (1, 0, "p", "x", True)]
     assert value(spark, readers.normalized_markers("t"), t="a\r\n<!-- page: 1 --> b") == "a\n\n<!-- page: 1 -->\n\nb"
     assert tuple(value(spark, readers.page_range(F.lit(0), F.lit(50), F.lit(10)), t="")) == (1, 10)
+
+
+def test_simple_formulas():
+    assert maths.math_html("C_6H_{12}O_6") == "C<sub>6</sub>H<sub>12</sub>O<sub>6</sub>"
+    assert maths.math_html(r"\text{m}^{a_{b}}\,\cdot 2") == "m<sup>a<sub>b</sub></sup> · 2"
+    assert maths.math_html("x^+") == "x<sup>+</sup>"
+    for bad in (r"\sqrt{2}", "{a", "a}", "", "  ", "a<b", "a_", "a__b", r"a_\cdot", "\\", None):
+        assert maths.math_html(bad) is None
+
+
+def test_headings_applied_in_order():
+    h = lambda *x: [{"text": t, "level": n} for t, n in x]
+    apply = headings.apply_headings
+    # a short title needs the whole block; a long one splits its block
+    assert apply("I came.\r\n\r\nI\r\n\r\nThe *Sea*: it is wide.", h(("I", 1), ("THE SEA", 2))) == (
+        "I came.\n\n# I\n\n## The Sea:\n\nit is wide."
+    )
+    # spacing differs, a later title stands earlier, headings and comments stay
+    assert apply("Last Part\n\n<!-- page: 1 -->\n\n# Heart\n\nH EA RT *soft*", h(("Heart", 2), ("Last part", 1), ("none here", 1))) == (
+        "# Last Part\n\n<!-- page: 1 -->\n\n# Heart\n\n## H EA RT\n\n*soft*"
+    )
+    # the rest may be a title too
+    assert apply("Part One Chapter Two text", h(("Part One", 1), ("Chapter Two", 2))) == "# Part One\n\n## Chapter Two\n\ntext"
+    assert apply(None, h(("a", 1))) is None and apply("x", None) == "x" and apply("", h(("", 1), (None, 1))) == ""
+
+
+def test_headings_with_nulls_in_columns(spark):
+    x = spark.createDataFrame(
+        [(1, "Alpha beta", [("alpha", 1)]), (2, None, [("alpha", 1)]), (3, "Alpha", None)],
+        "id int, text string, headings array<struct<text string, level int>>",
+    )
+    assert [r.text for r in headings.with_headings(x).orderBy("id").collect()] == ["# Alpha\n\nbeta", None, "Alpha"]
