@@ -38,6 +38,8 @@ from quirework.llm.common import batch_of, map_arrow, staged, table, text_of, ut
 WIDTH, GRAM = 400, 64
 #: Distinct contexts of an anchor that one task compares.
 HOT = 4096
+#: Keys of more than one in so many runs are joined by broadcast.
+OFTEN = 4096
 #: Bytes that are hashed at once (a longer text goes alone).
 PIECE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -314,24 +316,40 @@ def cut_texts(batches):
         )
 
 
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, share: int) -> DataFrame:
+    """Inner join to ``right``, which has one row a key and in ``count`` how many
+    of the ``total`` rows of ``left`` have that key.  Keys of more than 1/share
+    of the rows are fewer than ``share``: they are broadcast, so that their rows
+    stay where they are; all others are joined by a shuffle."""
+    often = right.where(F.col(count) * F.lit(share) > F.lit(total))
+    rest = right.where(F.col(count) * F.lit(share) <= F.lit(total))
+    near = left.join(F.broadcast(often), keys)
+    far = left.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rest, keys)
+    return near.unionByName(far)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, rid, s, e): byte spans that repeated windows cover; ``docs`` has
     doc_id, rid and raw."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = f"doc_id {kind}, rid long"
     runs = staged(map_arrow(docs, run_rows(width, gram), f"{ids}, a long, c long, s int, e int, p int"), "runs")
-    twice = (
+    total = runs.count()
+    twice = staged(
         runs.groupBy("a")
         .agg(F.count(F.lit(1)).alias("t"), F.min("c").alias("c0"), F.max("c").alias("c1"))
         .where("t > 1")
-        .select("a", (F.col("c0") == F.col("c1")).alias("pure"))
+        .select("a", "t", (F.col("c0") == F.col("c1")).alias("pure")),
+        "twice",
     )
-    known = staged(runs.join(twice, "a"), "known")
+    known = staged(join_counted(runs, twice, ["a"], "t", total, OFTEN).drop("t"), "known")
     mixed = known.where(~F.col("pure"))
-    counts = mixed.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s")).alias("least"))
+    counts = staged(
+        mixed.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s")).alias("least")), "counts"
+    )
     many = counts.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     marked = staged(
-        mixed.join(counts, ["a", "c"]).where((F.col("n") > 1) | (F.struct("rid", "s") == F.col("least"))), "mixed"
+        join_counted(mixed, counts, ["a", "c"], "n", total, OFTEN).where((F.col("n") > 1) | (F.struct("rid", "s") == F.col("least"))), "mixed"
     )
     full = F.col("e") + F.lit(width)
     spans = known.where("pure").select("doc_id", "rid", "s", full.cast("int").alias("e"))
