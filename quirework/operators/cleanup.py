@@ -71,26 +71,29 @@ def ornaments(blocks: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def hyphen_candidates(blocks: DataFrame) -> DataFrame:
-    """Words broken by "- ": both halves and whether to join them, to keep the
-    hyphen or (null) to leave them, by the book's own vocabulary."""
-    pair = F.regexp_extract_all("text", F.lit(r"([\p{L}]+)- +(?=\p{Ll})"), 1)
-    rest = F.regexp_extract_all("text", F.lit(r"[\p{L}]+- +(\p{Ll}[\p{L}]*)"), 1)
-    found = blocks.where(~F.contains(F.col("text"), F.lit("|"))).select(
-        "book", "page", "pos", F.explode(F.arrays_zip(pair.alias("l"), rest.alias("r"))).alias("x")
+    """Words broken by "- ": both halves and whether the hyphen stays
+    (``compound``) or goes (``joined``), by the book's own vocabulary.  Table
+    rows are left out; fences are for the caller to leave out."""
+    half = r"(?<!\p{L})(\p{L}+\p{Ll})-[ \n]+(?=(\p{Ll}\p{L}*))"
+    part = lambda i: F.regexp_extract_all("text", F.lit(half), F.lit(i))
+    found = blocks.where(~F.startswith(F.col("text"), F.lit("|"))).select(
+        "book", "page", "pos", F.explode(F.arrays_zip(part(1).alias("l"), part(2).alias("r"))).alias("x")
     ).select("book", "page", "pos", F.lower("x.l").alias("l"), F.lower("x.r").alias("r"))
-    words = blocks.select("book", F.explode(T.tok_alnum_hyphen("text")).alias("word")).groupBy("book", "word").count()
-
-    def seen(df, expr, name):
-        w = words.select(F.col("book"), F.col("word").alias("_w"), F.col("count").alias(name))
-        return df.withColumn("_w", expr).join(w, ["book", "_w"], "left").drop("_w")
-
-    x = seen(found, F.concat("l", F.lit("-"), "r"), "n_hyphen")
-    x = seen(x, F.concat("l", "r"), "n_joined")
-    x = seen(seen(x, F.col("l"), "n_left"), F.col("r"), "n_right")
-    joined, hyphen = F.coalesce("n_joined", F.lit(0)), F.coalesce("n_hyphen", F.lit(0))
-    both = (F.coalesce("n_left", F.lit(0)) > 0) & (F.coalesce("n_right", F.lit(0)) > 0)
-    how = F.when(hyphen > joined, "compound").when(joined > 0, "joined").when(both, "compound").otherwise("joined")
-    return x.select("book", "page", "pos", "l", "r", how.alias("how"))
+    words = blocks.select("book", F.explode(T.tok_alnum_hyphen("text")).alias("word"))
+    pairs = found.select("book", "l", "r").distinct()
+    # only words that a pair asks for are kept
+    asked = pairs.select("book", "l", "r", F.explode(F.array(F.concat("l", F.lit("-"), "r"), F.concat("l", "r"), "l", "r")).alias("word"))
+    there = words.join(asked.select("book", "word").distinct(), ["book", "word"], "left_semi").distinct()
+    has = asked.join(there.withColumn("_y", F.lit(True)), ["book", "word"], "left").groupBy("book", "l", "r").agg(
+        *[
+            F.coalesce(F.bool_or((F.col("word") == w) & F.col("_y")), F.lit(False)).alias(n)
+            for n, w in (("_h", F.concat("l", F.lit("-"), "r")), ("_j", F.concat("l", "r")), ("_l", F.col("l")), ("_r", F.col("r")))
+        ]
+    )
+    long = (F.length("l") >= 3) & (F.length("r") >= 3)
+    stays = F.col("_h") | (~F.col("_j") & long & F.col("_l") & F.col("_r"))
+    how = F.when(stays, "compound").otherwise("joined")
+    return found.join(has, ["book", "l", "r"]).select("book", "page", "pos", "l", "r", how.alias("how"))
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:

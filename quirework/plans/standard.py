@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions import maths
 from quirework.functions import text as T
 from quirework.operators import blocks as B
-from quirework.operators import cleanup, doubt, headings, library, metrics, review, tables, translation
+from quirework.operators import cleanup, doubt, headings, library, metrics, repair, review, tables, translation
 from quirework.shipping import ship
 
 QUERIES: dict = {}
@@ -537,3 +537,53 @@ def math_html(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(
         "n_nationkey", maths.simple_math(tex).alias("html"), maths.simple_math(F.concat(F.lit(r"\frac"), tex)).alias("unknown")
     )
+
+
+@query(
+    "with d as (select doc_id, string_split(replace(text, ', ', ' — '), '—') as p from documents), "
+    "x as (select doc_id, unnest(p[1:-2]) as a, unnest(p[2:]) as b from d), "
+    "y as (select doc_id, regexp_extract(a, '([\\p{L}\\p{N}]+) *$', 1) as l, "
+    "regexp_extract(b, '^[ \\n]*[“\"‘''«¿¡(\\[_]*([\\p{L}\\p{N}]+)', 1) as r from x) "
+    "select doc_id, l as left_word, r as right_word, count(*) as n from y where l <> '' and r <> '' group by all"
+)
+def dash_pairs(spark, sf_dir):
+    """Words on both sides of every dash; commas stand in for dashes."""
+    x = read(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(", "), F.lit(" — ")))
+    x = x.select("doc_id", F.explode(repair.dash_pairs(F.col("text"))).alias("p"))
+    return x.groupBy("doc_id", F.col("p.left").alias("left_word"), F.col("p.right").alias("right_word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def broken(p: DataFrame) -> DataFrame:
+    """Every second page has its words broken before "ta"."""
+    return p.withColumn("text", F.when(F.col("page") % 2 == 1, F.replace("text", F.lit("ta"), F.lit("- ta"))).otherwise(F.col("text")))
+
+
+@query(
+    "with l as (select lang as book, case when doc_id % 2 = 1 then replace(text, 'ta', '- ta') else text end as text from documents), "
+    "w as (select distinct book, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}-]+')) as word from l), "
+    "s as (select book, string_split(regexp_replace(text, '- +', chr(1), 'g'), chr(1)) as p from l where not starts_with(text, '|')), "
+    "x as (select book, unnest(p[1:-2]) as a, unnest(p[2:]) as b from s), "
+    "y as (select book, lower(regexp_extract(a, '(\\p{L}+\\p{Ll})$', 1)) as l, lower(regexp_extract(b, '^(\\p{Ll}\\p{L}*)', 1)) as r from x), "
+    "c as (select book, l, r, count(*) as n from y where l <> '' and r <> '' group by all), "
+    "k as (select c.*, exists (from w where w.book = c.book and word = l || '-' || r) as h, exists (from w where w.book = c.book and word = l || r) as j, "
+    "exists (from w where w.book = c.book and word = l) as wl, exists (from w where w.book = c.book and word = r) as wr from c) "
+    "select book, l, r, n, case when h or (not j and length(l) >= 3 and length(r) >= 3 and wl and wr) then 'compound' else 'joined' end as how from k"
+)
+def hyphen_joins(spark, sf_dir):
+    """Broken words and whether their hyphen stays, by the book's vocabulary."""
+    whole = broken(pages(spark, sf_dir)).withColumn("pos", F.lit(0))
+    return cleanup.hyphen_candidates(whole).groupBy("book", "l", "r", "how").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def joined_hyphens(spark, sf_dir):
+    """Pages with their broken words made whole, by each page's own words."""
+    return repair.join_hyphens(broken(pages(spark, sf_dir)))
+
+
+@query()
+def restored_dashes(spark, sf_dir):
+    """Pages that lost the dashes of their reference text."""
+    own = pages(spark, sf_dir).where("text is not null")
+    reference = own.withColumn("text", F.replace("text", F.lit(", "), F.lit(" — ")))
+    return repair.restore_dashes(own.withColumn("text", F.replace("text", F.lit(", "), F.lit(" "))), reference)

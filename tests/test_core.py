@@ -8,7 +8,7 @@ from quirework import catalog
 from quirework.functions import maths
 from quirework.functions import text as T
 from quirework.operators import blocks as B
-from quirework.operators import cleanup, doubt, headings, images, library, metrics, review, tables, translation
+from quirework.operators import cleanup, doubt, headings, images, library, metrics, repair, review, tables, translation
 from quirework.sources import readers, writers
 from quirework.streaming import progress
 
@@ -270,3 +270,32 @@ def test_headings_with_nulls_in_columns(spark):
         "id int, text string, headings array<struct<text string, level int>>",
     )
     assert [r.text for r in headings.with_headings(x).orderBy("id").collect()] == ["# Alpha\n\nbeta", None, "Alpha"]
+
+
+def test_dashes_restored(spark):
+    def fix(text, reference):
+        x = spark.createDataFrame([("b", 1, text)], "book string, page int, text string")
+        y = spark.createDataFrame([("b", 1, reference)], "book string, page int, text string")
+        r = repair.restore_dashes(x, y).first()
+        return r.text, r.restored
+
+    assert fix("a lamp flickermay go", "a lamp flicker—may go") == ("a lamp flicker—may go", 1)
+    assert fix("long ago we met", "long ago — we met") == ("long ago — we met", 1)
+    assert fix("since you and me", "since—you and me") == ("since—you and me", 1)
+    assert fix("end of it", "end—\nof it") == ("end—of it", 1)
+    assert fix("stop\n\n“now", "stop—“now") == ("stop—\n\n“now", 1)
+    assert fix("no no no", "no—no—no") == ("no—no—no", 2)
+    # dashed already, ambiguous, doubled, part of a longer word, nulls
+    for text, reference in (("a—b", "a—b"), ("a b and a b", "a—b"), ("a b", "a——b"), ("xa b", "a—b"), (None, "a—b"), ("a b", None), ("", "a—b")):
+        assert fix(text, reference) == (text, 0)
+
+
+def test_hyphens_joined(spark):
+    fix = repair.joined
+    assert fix("It ex- plained\nstepping- stones; stepping stones") == ("It explained\nstepping-stones; stepping stones", 2)
+    assert fix("a long- term plan, long-term") == ("a long-term plan, long-term", 1)
+    assert fix("the wa-\n\n<!-- page: 2 -->\n\nter runs") == ("the water\n\n<!-- page: 2 -->\n\nruns", 1)
+    for text in ("well-known", "| ex- plained |", "```\nex- plained\n```", "Anglo- Saxon", "a- side", "", "- item"):
+        assert fix(text) == (text, 0)
+    x = spark.createDataFrame([(1, None, "k"), (2, "ex- plain", "k")], "id int, text string, joined string")
+    assert [(r.text, r.joined) for r in repair.join_hyphens(x).orderBy("id").collect()] == [(None, 0), ("explain", 1)]
