@@ -8,7 +8,7 @@ most one stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate, packing, pii, quality_knn, simhash
@@ -25,19 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id (of
-    rows that share it, one; a group of null ids keeps one of them)."""
-    groups = simhash.simhash_groups(docs)
-    named = groups.select("doc_id", "fp", "component_id").groupBy("doc_id", "fp").agg(
-        F.first("component_id").alias("component_id")
-    )
-    keepers = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # rows of the kept ids: few repeat, so the window's groups are small
-    kept = docs.join(
-        keepers.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi"
-    )
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(docs.columns)
+    """One document of each group stays: the one with the smallest doc_id, null
+    ids last (of rows that share it, the one with the least hash)."""
+    # a row is told by two hashes of all its columns; a null leaves a hash as it is, so nulls are hashed too
+    whole = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    marked = docs.withColumn("_a", F.xxhash64(*whole)).withColumn("_b", F.xxhash64(F.lit(1), *whole))
+    keepers = simhash.simhash_keepers(marked, ("_a", "_b"))
+    # rows that are alike in every column share the hashes: one of them stays
+    return marked.join(keepers, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -273,23 +273,45 @@ def printer(batches):
         )
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed) and component_id of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = staged(map_arrow(docs.select("doc_id", utf8().alias("raw")), printer, f"doc_id {kind}, fp long"), "prints")
-    prints = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+def printed(docs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """doc_id, fp and the columns ``keep`` of every row, with the part it is dealt to."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    prints = map_arrow(
+        docs.select("doc_id", utf8().alias("raw"), *keep),
+        printer,
+        f"doc_id {kinds['doc_id']}, fp long" + "".join(f", {c} {kinds[c]}" for c in keep),
+    )
+    return staged(prints, "prints").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+
+
+def rooted(prints: DataFrame, least: Column) -> DataFrame:
+    """fp, its parts, the root of its component and its minimum of ``least``."""
     # copies count once per part first, so no task meets all rows of a fingerprint
-    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
+    parts = prints.groupBy("fp", "salt").agg(F.min(least).alias("least"))
     distinct = parts.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts"))
     roots = components(links(distinct.select("fp")))
-    nodes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", "salts", F.coalesce("root", "fp").alias("root")
     )
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed) and component_id of every row."""
+    prints = printed(docs)
+    nodes = rooted(prints, F.col("doc_id"))
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "root").select("fp", F.explode("salts").alias("salt"), "component_id")
     return prints.join(named, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
+def simhash_keepers(docs: DataFrame, row: tuple) -> DataFrame:
+    """The columns ``row``, which tell rows apart, of one row of each component:
+    the one with the smallest doc_id, null ids last, then the smallest ``row``."""
+    prints = printed(docs, row)
+    nodes = rooted(prints, F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", *row))
+    return nodes.groupBy("root").agg(F.min("least").alias("least")).select(*(f"least.{c}" for c in row))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

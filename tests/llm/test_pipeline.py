@@ -1,5 +1,7 @@
 """The pipeline's stages against what they must keep and drop."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -59,3 +61,20 @@ def test_awkward_rows(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_each_group_keeps_one(spark):
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ant", "bee", "cat", "dog", "elk")]
+    made = [
+        (None, words[0], "en", None, 1), (None, words[0], "en", None, 1), (None, words[0], None, "en", 1),
+        (None, words[1], "en", "s", 2),
+        (None, words[2], "en", "s", 3), (4, words[2], "en", "s", 3), (9, words[2], "en", "s", 3),
+        (7, words[3], "en", "s", 4), (7, words[4], "en", "s", 5), (7, words[4], "en", "s", 5),
+        (8, words[3], "en", "s", 4),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert out.columns == docs.columns
+    assert Counter((r.text, r.doc_id) for r in out.collect()) == Counter(
+        [(words[0], None), (words[1], None), (words[2], 4), (words[3], 7), (words[4], 7)]
+    )
