@@ -3,12 +3,13 @@
 Documents become token ids plus an end id; one longer than the sequence is cut
 into full pieces, the first piece taking the rest.  Packing needs only the
 *histogram* of piece lengths (at most ``size`` counts, whatever the corpus), so
-the driver packs the histogram: for the largest length left, bin completion
-enumerates fillings of its gap in order of waste, dominated fillings (those
-whose members could be replaced by one larger length that fits) are skipped,
-branches that can't beat the incumbent's waste are pruned, and the best-fit
-completion is the first incumbent.  A filling is applied as often as its counts
-allow, so steps do not grow with the corpus.
+the driver packs the histogram.  Best-fit decreasing is the first incumbent; where
+it needs more sequences than the lower bound, bin completion looks for fewer: for
+the largest length left it branches over the undominated fillings of its gap and
+gives up a branch whose waste is past what the wanted number of sequences leaves.
+A filling is applied as often as its counts allow (or once), so steps do not grow
+with the corpus.  A pass looks at ``NODES`` fillings at most; a packing above the
+bound is therefore not proved to be the least.
 
 The result is a table of slots (length, ranks, sequences, offset).  Pieces get
 their rank among equals by (length, salt) windows and running sums, so no task
@@ -33,8 +34,10 @@ from quirework.llm.common import batch_of, map_arrow, staged, table, text_of
 TOKENIZER, SIZE, END = "byte_bpe_50k.json", 1024, 2
 #: Pieces of a (length, salt) window, about.
 WINDOW_ROWS = 200_000
-#: Fillings that a bin's completion tries at most; then its incumbent stands.
-NODES = 3000
+#: Fillings that a pass of the search looks at; then the incumbent stands.
+NODES = 2000
+#: Waste of a sequence, in parts of the mean left, whose fillings a pass tries first.
+SHARES = (4.0, 0.0, 0.5, 1.0, 2.0, 8.0, 16.0)
 #: Pre-tokens that a worker keeps at most.
 CACHE = 800_000
 _LOADED: dict[str, tuple] = {}
@@ -128,74 +131,163 @@ def cutter(path: str, size: int, end: int):
     return work
 
 
-def best_fit(left: np.ndarray, gap: int) -> list[int]:
-    """The incumbent: again and again the largest length that fits."""
-    out, used = [], Counter()
-    while gap > 0:
-        there = [s for s in np.flatnonzero(left[: gap + 1])[::-1] if left[s] > used[s]]
-        if not there:
-            break
-        out.append(int(there[0]))
-        used[out[-1]] += 1
-        gap -= out[-1]
+def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """(lengths, times): best-fit decreasing, sequences that are alike at once.
+
+    They are kept by gap; of each length and group only one sequence can get
+    fewer pieces than fit, so the groups do not grow with the corpus."""
+    gaps: dict[int, dict[tuple[int, ...], int]] = {}
+    for s in sorted((s for s, n in counts.items() if n), reverse=True):
+        n = counts[s]
+        while n:
+            gap = next((g for g in range(s, size) if gaps.get(g)), size)
+            fill, there = next(iter(gaps[gap].items())) if gap < size else ((), n)
+            k = min(n, gap // s)
+            times = min(there, n // k)
+            if fill:
+                gaps[gap][fill] -= times
+                if not gaps[gap][fill]:
+                    del gaps[gap][fill]
+            group = gaps.setdefault(gap - k * s, {})
+            group[(*fill, *[s] * k)] = group.get((*fill, *[s] * k), 0) + times
+            n -= k * times
+    return [(list(fill), times) for group in gaps.values() for fill, times in group.items()]
+
+
+def least_sequences(counts: dict[int, int], size: int) -> int:
+    """A lower bound (Martello and Toth): for each k, lengths above size - k
+    stand alone, and those below k are left out."""
+    n = np.zeros(size + 1, np.int64)
+    for s, c in counts.items():
+        n[s] = c
+    tokens, half = n * np.arange(size + 1), size // 2
+    out = 0
+    for k in range(half + 1):
+        alone, large = int(n[size - k + 1 :].sum()), int(n[half + 1 : size - k + 1].sum())
+        over = int(tokens[k : half + 1].sum()) - (large * size - int(tokens[half + 1 : size - k + 1].sum()))
+        out = max(out, alone + large + max(0, -(-over // size)))
     return out
 
 
-def complete(left: np.ndarray, gap: int) -> list[int]:
-    """The filling of ``gap`` with the least waste; ``left`` counts the lengths
-    that are still free."""
-    best = best_fit(left, gap)
-    waste = gap - sum(best)
-    if not waste:
-        return best
-    sizes = [int(s) for s in np.flatnonzero(left[: gap + 1])[::-1]]
-    if not sizes:  # nothing fits
-        return best
-    reach = np.cumsum([s * int(left[s]) for s in sizes[::-1]])[::-1].tolist()  # of this size and all smaller ones
-    least, nodes = sizes[-1], 0
-
-    def search(i: int, room: int, taken: list[int]) -> bool:
-        """True when nothing is wasted or the nodes are spent."""
-        nonlocal best, waste, nodes
-        nodes += 1
-        if room < waste:
-            best, waste = list(taken), room
-        if not waste or nodes > NODES:
+def fillings(left: list[int], gap: int, over: int, slack: int):
+    """The fillings of ``gap`` that waste more than ``over`` and at most
+    ``slack``, those with the largest lengths first, None for a dominated one;
+    ``left`` counts the free lengths.
+
+    A filling is dominated if one of its lengths, or two together, can give way
+    to a free length that is larger, or as large as the two."""
+    sizes = [s for s in range(gap, 0, -1) if left[s]]
+    mask = (1 << (gap + 1)) - 1
+    free = sum(1 << s for s in sizes)
+    reach = [1] * (len(sizes) + 1)  # the sums of each length and all smaller ones
+    for i in range(len(sizes) - 1, -1, -1):
+        r, c, k = reach[i + 1], min(left[sizes[i]], gap // sizes[i]), 1
+        while c > 0:
+            r |= r << (min(k, c) * sizes[i]) & mask
+            c, k = c - k, 2 * k
+        reach[i] = r
+
+    def dominated(taken: list[int], waste: int) -> bool:
+        spare = free
+        for s in set(taken):
+            if taken.count(s) == left[s]:
+                spare &= ~(1 << s)
+        if spare & ((1 << (waste + 1)) - 1):  # a free length fits beside them
             return True
-        top = True
+        for x in set(taken):
+            if spare >> (x + 1) & ((1 << waste) - 1):
+                return True
+        return any(
+            spare >> (x + y) & ((1 << (waste + 1)) - 1) for i, x in enumerate(taken) for y in taken[i + 1 :]
+        )
+
+    def walk(i: int, room: int, taken: list[int]):
         for j in range(i, len(sizes)):
+            low = max(0, room - slack)
+            if not reach[j] >> low & ((1 << max(0, room - over - low)) - 1):
+                return
             s = sizes[j]
-            if room - reach[j] >= waste:  # all that is left can't beat the incumbent
+            for k in range(min(left[s], room // s), 0, -1):
+                yield from walk(j + 1, room - k * s, taken + [s] * k)
+        if over < room <= slack:
+            yield None if dominated(taken, room) else taken
+
+    yield from walk(0, gap, [])
+
+
+def complete(counts: dict[int, int], size: int, most: int, share: float, nodes: int):
+    """A packing of at most ``most`` sequences, None if the nodes don't find one.
+
+    Branches over the fillings of the largest length left while the waste of all
+    sequences stays within the bound; those that waste at most ``share`` times
+    the mean that is left come first, then those that waste twice as much."""
+    left = [counts.get(s, 0) for s in range(size + 1)]
+    waste = most * size - sum(s * n for s, n in counts.items())
+    open_, used, largest = most, 0, size
+
+    def children(s: int, waste: int, open_: int):
+        nonlocal used
+        free, gap = list(left), size - s
+        free[s] -= 1
+        most, over = min(waste, gap), -1
+        slack = min(most, int(share * waste / max(1, open_)))
+        while over < most:
+            for fill in fillings(free, gap, over, slack):
+                used += 1
+                if used > nodes:
+                    return
+                if fill is None:
+                    continue
+                lost, whole = gap - sum(fill), [s, *fill]
+                times = min(left[x] // n for x, n in Counter(whole).items())
+                times = min(times, open_, waste // lost if lost else times)
+                if times > 1:
+                    yield whole, times
+                if times:
+                    yield whole, 1
+            over, slack = slack, min(most, 2 * slack + 1)
+
+    stack: list = []
+    while True:
+        while largest and not left[largest]:
+            largest -= 1
+        if not largest:
+            return [done for _, done, _ in stack]
+        stack.append([children(largest, waste, open_), None, largest])
+        while True:
+            branch, done, largest = stack[-1]
+            if done:
+                for x in done[0]:
+                    left[x] += done[1]
+                waste += done[1] * (size - sum(done[0]))
+                open_ += done[1]
+            stack[-1][1] = done = next(branch, None)
+            if done:
                 break
-            if s > room or left[s] <= taken.count(s):
-                continue
-            if not top and room - s < least:  # dominated: a larger length fits and nothing can follow
-                continue
-            top = False
-            if search(j, room - s, [*taken, s]):
-                return True
-        return False
-
-    search(0, gap, [])
-    return best
+            stack.pop()
+            if not stack or used > nodes:
+                return None
+        for x in done[0]:
+            left[x] -= done[1]
+        waste -= done[1] * (size - sum(done[0]))
+        open_ -= done[1]
 
 
 def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
     """(lengths, times): the sequences, largest length first."""
-    left = np.zeros(size + 1, np.int64)
-    for s, n in counts.items():
-        left[s] = n
-    out = []
-    for s in range(size, 0, -1):
-        while left[s]:
-            left[s] -= 1
-            fill = [s, *complete(left, size - s)]
-            left[s] += 1
-            times = min(int(left[x]) // n for x, n in Counter(fill).items())
-            for x in fill:
-                left[x] -= times
-            out.append((fill, times))
-    return out
+    best, least = best_fit_decreasing(counts, size), least_sequences(counts, size)
+    need = sum(n for _, n in best)
+    step = (need - least) // 16
+    for share in SHARES:
+        low = least  # halve what is between the bound and the incumbent
+        while need - low > step:
+            most = (low + need - 1) // 2
+            found = complete(counts, size, most, share, NODES)
+            if found is None:
+                low = most + 1
+            else:
+                best, need = found, sum(n for _, n in found)
+    return sorted(best, key=lambda x: sorted(x[0], reverse=True), reverse=True)
 
 
 def slots(bins: list[tuple[list[int], int]], size: int) -> tuple[np.ndarray, ...]:

@@ -279,6 +279,32 @@ def test_pack_histogram_is_tight():
         assert sum(n for _, n in bins) <= -(-total // 40) + 1 or sum(n for s, n in sizes.items() if s > 20) > total // 40
 
 
+def test_pack_histogram_reaches_the_bound():
+    rng = random.Random(8)
+    for copies in (1, 1000):
+        sizes = Counter(min(1024, int(rng.lognormvariate(6, 0.9)) + 1) for _ in range(1500))
+        sizes = {s: n * copies for s, n in sizes.items()}
+        used = Counter()
+        bins = packing.pack_histogram(sizes)
+        for fill, times in bins:
+            assert sum(fill) <= 1024
+            for s in fill:
+                used[s] += times
+        assert used == sizes
+        need, plain = sum(n for _, n in bins), sum(n for _, n in packing.best_fit_decreasing(sizes, 1024))
+        assert packing.least_sequences(sizes, 1024) <= need <= plain
+        if copies == 1:
+            assert need == packing.least_sequences(sizes, 1024)
+    # one sequence at a time gives the same number
+    for _ in range(50):
+        sizes, gaps = Counter(rng.randint(1, 30) for _ in range(60)), []
+        for s in sorted(sizes.elements(), reverse=True):
+            gaps.sort()
+            at = next((i for i, g in enumerate(gaps) if g >= s), None)
+            gaps = [*gaps, 30 - s] if at is None else [*gaps[:at], gaps[at] - s, *gaps[at + 1 :]]
+        assert sum(n for _, n in packing.best_fit_decreasing(sizes, 30)) == len(gaps)
+
+
 def brute_prints(texts):
     import xxhash
 
