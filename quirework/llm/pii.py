@@ -2,7 +2,7 @@
 
 Base: the contract's four kinds, leftmost and non-overlapping, found without
 quadratic retries.  Method: the neighbourhood of every place with a trigger (a
-digit, an ``@``, a spelled-out "at") is cut into tokens; a semi-Markov CRF scores
+digit, an ``@``, a spelled-out "at") is cut into whole tokens; a semi-Markov CRF scores
 whole candidate segments of at most ``MAX_TOKENS`` tokens by features of the
 span (digits, dots, checks, cue words before it), and dynamic programming picks
 boundaries and kinds jointly.  Base spans always stay; CRF spans are added where
@@ -16,8 +16,10 @@ repeated documents are scanned each; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -81,6 +83,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the semi-Markov CRF -------------------------------------------------
 
 _TOKEN = re.compile(r"\S+")
+#: Letters and marks of other scripts than Latin.
+_OTHER = r"\u0370-\u1DFF\u1F00-\u1FFF\u2C00-\uD7FF\uF900-\uFFEF\U00010000-\U0003FFFF"
+#: Where a token is cut: a number after a name and its mark, or after a list's
+#: mark, and a change between a number and another script.
+_CUT = re.compile(
+    rf"(?<=[^\W\d_][:=;,|])(?=[+(0-9])|(?<=[0-9][;,|])(?=[^\W\d_(+])|(?<=[{_OTHER}])(?=[+(0-9])|(?<=[0-9)])(?=[{_OTHER}])"
+)
+#: A token of more characters is cut at all marks that no kind holds, and what is
+#: still longer also where numbers begin and end.
+LONG = 120
+_PARTS = re.compile(r"[\w.%+@()\[\]-]+|[^\w.%+@()\[\]-]+")
+_NUMBERS = re.compile(r"\(?\+?[0-9]+\)?[.-]?|[^0-9(+]+|[(+]+")
 #: Seven digits near each other, four dotted numbers, an at sign or a spelled-out one.
 _TRIGGER = re.compile(
     r"@|\[at\]|\(at\)|\bat \S{1,40} dot\b|[0-9](?:[ ().-]{0,3}[0-9]){6}|(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
@@ -151,15 +165,21 @@ class SemiCRF:
     @staticmethod
     def segments(tokens: list[tuple[int, int]], text: str):
         """(first, end, kind, features) of the candidate segments."""
-        out = []
-        words = [text[s:e].lower().strip(".,;:!?()\"'<>") for s, e in tokens]
+        return list(SemiCRF.walk(tokens, text))
+
+    @staticmethod
+    def walk(tokens: list[tuple[int, int]], text: str):
+        """The candidate segments one by one, by their first token.  A token that
+        is still longer than ``LONG`` is no part of one."""
+        words = [text[s : min(e, s + LONG)].lower().strip(".,;:!?()\"'<>=|") for s, e in tokens]
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+                if tokens[j - 1][1] - tokens[j - 1][0] > LONG:
+                    break
                 span = text[tokens[i][0] : tokens[j - 1][1]]
                 for kind in KINDS:
                     if candidate(kind, span):
-                        out.append((i, j, kind, features(kind, span, tuple(words[max(0, i - 2) : i]), j - i)))
-        return out
+                        yield i, j, kind, features(kind, span, tuple(words[max(0, i - 2) : i]), j - i)
 
     def gradient(self, n: int, segments, gold: set[tuple[int, int, str]]):
         """Log-likelihood and gradient of one window by forward-backward sums."""
@@ -186,16 +206,24 @@ class SemiCRF:
         return right, grad
 
     def decode(self, n: int, segments) -> list[tuple[int, int, str]]:
-        """The best segmentation."""
-        best, back = np.zeros(n + 1), [None] * (n + 1)
-        ends: dict[int, list] = {}
+        """The best segmentation; ``segments`` come by their first token, so
+        none has to be kept."""
+        best, back = np.full(n + 1, -np.inf), [None] * (n + 1)
+        best[0], done = 0, 0
+
+        def settle(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                done += 1
+                if best[done - 1] >= best[done]:
+                    best[done], back[done] = best[done - 1], None
+
         for i, j, k, f in segments:
-            ends.setdefault(j, []).append((i, k, float(f @ self.w[k])))
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for i, k, score in ends.get(j, ()):
-                if best[i] + score > best[j]:
-                    best[j], back[j] = best[i] + score, (i, k)
+            settle(i)
+            score = best[i] + float(f @ self.w[k])
+            if score > best[j]:
+                best[j], back[j] = score, (i, k)
+        settle(n)
         out, j = [], n
         while j:
             if back[j]:
@@ -265,39 +293,60 @@ def trained(examples: int = 500, epochs: int = 12, seed: int = 7) -> SemiCRF:
     return crf
 
 
-def windows(text: str, reach: int = MAX_TOKENS):
-    """Tokens around triggers, neighbouring triggers together."""
-    hits = [m.start() for m in _TRIGGER.finditer(text)]
-    x = 0
-    while x < len(hits):
-        lo = hits[x]
-        y = x
-        while y + 1 < len(hits) and hits[y + 1] - hits[y] < 40 and hits[y + 1] - lo < 400:
-            y += 1
-        tokens = [m.span() for m in _TOKEN.finditer(text, max(0, lo - 60), min(len(text), hits[y] + 60))]
-        yield [t for t in tokens if t[1] - t[0] <= 120]
-        x = y + 1
+def tokens_of(text: str, start: int, end: int):
+    """The tokens of the whitespace token at [start, end)."""
+    if end - start <= LONG:
+        at = start
+        for m in _CUT.finditer(text, start, end):
+            if m.start() > at:
+                yield at, m.start()
+                at = m.start()
+        yield at, end
+        return
+    for m in _PARTS.finditer(text, start, end):
+        if m.end() - m.start() <= LONG:
+            yield from tokens_of(text, *m.span())
+        else:
+            yield from (x.span() for x in _NUMBERS.finditer(text, *m.span()))
+
+
+def windows(text: str, reach: int = MAX_TOKENS + 2):
+    """Tokens around triggers: ``reach`` whole ones on both sides, which holds
+    every segment with a part of the trigger and the words before it.  Windows
+    that meet are one, whatever its length."""
+    hits = [m.span() for m in _TRIGGER.finditer(text)]
+    if not hits:
+        return
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [s for s, _ in spans]
+    ranges: list[list[int]] = []
+    for s, e in hits:
+        lo = max(0, bisect.bisect_right(starts, s) - 1 - reach)
+        hi = min(len(spans), bisect.bisect_left(starts, e) + reach)
+        if ranges and lo <= ranges[-1][1]:
+            ranges[-1][1] = max(hi, ranges[-1][1])
+        else:
+            ranges.append([lo, hi])
+    for lo, hi in ranges:
+        yield [t for s, e in spans[lo:hi] for t in tokens_of(text, s, e)]
 
 
 def crf_spans(text: str, crf: SemiCRF, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """CRF spans that overlap no base span, left to right."""
     out: list[tuple[str, int, int]] = []
     taken = sorted((s, e) for _, s, e in base)
-    last = 0
+    firsts = [s for s, _ in taken]
+    ends = list(itertools.accumulate((e for _, e in taken), max))
     for tokens in windows(text):
-        tokens = [t for t in tokens if t[0] >= last]
-        segments = SemiCRF.segments(tokens, text)
-        if not segments:
-            continue
-        for i, j, kind in crf.decode(len(tokens), segments):
+        for i, j, kind in crf.decode(len(tokens), SemiCRF.walk(tokens, text)):
             s, e = tokens[i][0], tokens[j - 1][1]
-            while e > s and text[e - 1] in ".,;:!?\"'<>":
+            while e > s and text[e - 1] in ".,;:!?\"'<>|":
                 e -= 1
             while s < e and text[s] in "\"'<":
                 s += 1
-            if s < e and not any(a < e and s < b for a, b in taken):
+            before = bisect.bisect_left(firsts, e)  # base spans that begin before the end
+            if s < e and not (before and ends[before - 1] > s):
                 out.append((kind, s, e))
-                last = e
     return out
 
 

@@ -437,6 +437,22 @@ def test_crf_learns_and_leaves_numbers_alone():
     assert crf.gradient(3, segments, gold)[0] == pytest.approx(right - np.log(total))
 
 
+def test_crf_windows_cut_no_token():
+    crf = pii.trained()
+    redacted = lambda t: pii.redacted(t, pii.crf_spans(t, crf, []))
+    for pad in range(20):
+        text = "x" * pad + " call " + "(212) 555-0198, " * 300
+        left = redacted(text)
+        assert left.count("<phone>") == 300 and not any(c.isdigit() for c in left), left
+    # tokens of any length, glued to a name or to another script
+    glued = "[" + "|".join(["(212)555-0198"] * 40) + "]"
+    for text in (glued, "call " + ",".join(["(212)555-0198"] * 40), "Tel:(212)555-0198", "电话：+1(212)555-0198，谢谢", "call 电话(212)555-0198谢谢"):
+        assert not any(c.isdigit() for c in redacted(text)), (text, redacted(text))
+    assert "谢谢" in redacted("电话：+1(212)555-0198，谢谢")
+    for text in ("a" * 200_000, "a1" * 100_000, "1," * 100_000, "(" * 100_000 + "5551234567", "x@" * 50_000):
+        pii.crf_spans(text, crf, [])
+
+
 def test_quality_knn_held_out(spark, empty):
     rng = random.Random(9)
     vocab = ["".join(rng.choice("aeiourstnl") for _ in range(rng.randint(2, 8))) for _ in range(300)]
