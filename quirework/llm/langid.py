@@ -1,27 +1,33 @@
 """Language identification with language-bitmask n-gram filters.
 
 A filter is an array of slots, each a bitmask of languages (bit-sliced: one
-Bloom filter per bit, all looked up at once).  An n-gram's three slots are
-combined by AND, which gives all languages that contain it.  A text's n-grams
-are counted per language; a filter with the share ``f`` of false answers
-contributes ``n * f`` hits by chance, so ``(hits - n f) / (1 - f)`` estimates the
-true ones.  The language with the most decides.
+Bloom filter per bit, all looked up at once; 64 languages a word, and as many
+words as the languages need).  An n-gram's three slots are combined by AND, which
+gives all languages that contain it.  A text's n-grams are counted per language;
+a filter with the share ``f`` of false answers contributes ``n * f`` hits by
+chance, so ``(hits - n f) / (1 - f)`` estimates the true ones.  The language with
+the most decides (of equal ones the first by name).
 
 The filters are learned from a bounded sample: of each language at most
-``SAMPLE`` texts, the first by a hash of doc_id.  An n-gram belongs to a language
-if it makes up at least ``LEAST`` of its n-grams there and at least ``SHARE`` of
-what the language with the most has; that keeps mislabelled or mixed texts out.
+``SAMPLE`` texts, and of many languages fewer, ``TEXTS`` in all (one a language
+at least), the first by a hash of doc_id.  Every language of the labels is
+learned.  An n-gram belongs to a language if it makes up at least ``LEAST`` of
+its n-grams there, so a language has at most 1 / LEAST of them, and at least
+``SHARE`` of what the language with the most has; that keeps mislabelled or mixed
+texts out.
 
 Texts that are null or hold no letter are ``und`` with score 0, as is everything
-if nothing was learned.  Repeated documents are predicted each.
+if nothing was learned.  Repeated documents are predicted each; a
+repeated doc_id teaches one of its texts; labelled rows doc_id or text teach nothing.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,29 +36,34 @@ from quirework.llm.quality_knn import fold
 
 #: Texts of each language that the filters are learned from, at most.
 SAMPLE = 1000
-#: Languages that are learned at most, those with the most texts.
-LANGUAGES = 256
+#: Texts of all languages together, about.
+TEXTS = 256_000
 SIZES, SLOTS, HASHES = (3, 4, 5), 1 << 20, 3
 LEAST, SHARE = 2e-6, 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes that are hashed at once.
 PIECE = 1 << 20
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the byte n-grams of a text in lower case, blanks alike."""
-    x = np.frombuffer(b" " + b" ".join(raw.translate(_LOWER).split()) + b" ", np.uint8).astype(np.uint64)
-    out = []
-    code = x
-    for n in range(2, max(SIZES) + 1):
-        if len(code) < 2:
-            break
-        code = (code[:-1] << np.uint64(8)) | x[n - 1 :]
-        if n in SIZES:
-            h = (code + np.uint64(n * 0x517CC1B727220A95 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(h ^ (h >> np.uint64(32)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def grams(raw: bytes) -> Iterator[np.ndarray]:
+    """64-bit hashes of the byte n-grams of a whole text in lower case, blanks
+    alike, those that begin in PIECE bytes at a time."""
+    text = b" " + b" ".join(raw.translate(_LOWER).split()) + b" "
+    for lo in range(0, len(text), PIECE):
+        x = np.frombuffer(text[lo : lo + PIECE + max(SIZES) - 1], np.uint8).astype(np.uint64)
+        begin = min(PIECE, len(text) - lo)
+        out = []
+        code = x
+        for n in range(2, max(SIZES) + 1):
+            if len(code) < 2:
+                break
+            code = (code[:-1] << np.uint64(8)) | x[n - 1 :]
+            if n in SIZES:
+                h = (code[:begin] + np.uint64(n * 0x517CC1B727220A95 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+                out.append(h ^ (h >> np.uint64(32)))
+        if out:
+            yield np.concatenate(out)
 
 
 def places(h: np.ndarray) -> list[np.ndarray]:
@@ -63,30 +74,21 @@ def places(h: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """Bit-sliced Bloom filters of all languages."""
 
-    def __init__(self, per_language: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, per_language: dict[str, np.ndarray]):
         self.names = sorted(per_language)
         self.words = (len(self.names) + 63) // 64
         self.slots = np.zeros((self.words, SLOTS), np.uint64)
-        every = np.concatenate([h for h, _ in per_language.values()]) if per_language else np.empty(0, np.uint64)
-        keys = np.unique(every)
-        rate = np.zeros((len(self.names), len(keys)), np.float32)
-        for i, name in enumerate(self.names):
-            h, n = per_language[name]
-            rate[i, np.searchsorted(keys, h)] = n / max(1, n.sum())
-        top = rate.max(axis=0) if len(keys) else rate
         self.false = np.zeros(len(self.names))
-        for i in range(len(self.names)):
-            mine = keys[(rate[i] >= LEAST) & (rate[i] >= SHARE * top)]
+        for i, name in enumerate(self.names):
             bit = np.uint64(1 << (i % 64))
-            for at in places(mine):
+            for at in places(per_language[name]):
                 np.bitwise_or.at(self.slots[i // 64], at, bit)
             self.false[i] = float((self.slots[i // 64] & bit != 0).mean()) ** HASHES
 
     def hits(self, raw: bytes) -> tuple[np.ndarray, int]:
         """Per language the n-grams it contains, and the number of n-grams."""
         out, total = np.zeros(len(self.names)), 0
-        for lo in range(0, len(raw), PIECE):
-            h = grams(raw[max(0, lo - max(SIZES) + 1) : lo + PIECE])
+        for h in grams(raw):
             total += len(h)
             at = places(h)
             for w in range(self.words):
@@ -108,51 +110,50 @@ class Filters:
 def gram_counts(batches):
     """Hashes and counts of the n-grams of each text."""
     for batch in batches:
-        h, n = [], []
-        for raw in batch.column("raw").to_pylist():
-            keys, counts = np.unique(grams(raw), return_counts=True)
-            h.append(keys.view(np.int64).tolist())
-            n.append(counts.tolist())
-        yield batch_of(lang=batch.column("lang"), h=pa.array(h, pa.list_(pa.int64())), n=pa.array(n, pa.list_(pa.int64())))
+        for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            for part in grams(raw):
+                keys, counts = np.unique(part, return_counts=True)
+                yield batch_of(
+                    lang=pa.array([lang] * len(keys), pa.string()),
+                    h=pa.array(keys.view(np.int64)),
+                    n=pa.array(counts.astype(np.int64)),
+                )
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
+def learn(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> Filters:
     """Filters from a bounded sample of the labelled texts."""
     named = docs.where("lang is not null and text is not null and doc_id is not null")
-    tops = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = named.select("lang", "doc_id", F.xxhash64("doc_id").alias("o"))
+    # a repeated doc_id counts once, with the text of the least hash
+    share = named.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("t")).withColumn("o", F.xxhash64("doc_id"))
+    sizes = staged(share.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "languages")
+    each = max(1, min(sample, texts // max(1, sizes.count())))
     # the first of each language by hash, thinned before the window so that no task gets a whole language
-    counts = {r["lang"]: r["count"] for r in tops.collect()}
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        most = -(2**63) + int(2**64 * min(1.0, (4 * sample + 1000) / max(1, n))) - 1
-        keep = keep | ((F.col("lang") == lang) & (F.col("o") <= most))
+    thin = F.col("o") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * each + 1000) / F.col("of")
     first = Window.partitionBy("lang").orderBy("o", "doc_id")
     picked = staged(
-        share.where(keep).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("lang", "doc_id"),
+        share.join(sizes, "lang")
+        .where(thin)
+        .withColumn("r", F.row_number().over(first))
+        .where(F.col("r") <= each)
+        .select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), F.col("t").alias("_t")),
         "picked",
     )
-    # at most sample * LANGUAGES ids: small enough to broadcast
-    texts = named.select("doc_id", "lang", F.col("text").cast("binary").alias("raw")).join(
-        F.broadcast(picked.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))),
-        (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l")),
+    # at most ``texts`` ids, or one a language: small enough to broadcast
+    chosen = named.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("raw")).join(
+        F.broadcast(picked), (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l")) & (F.col("t") == F.col("_t"))
     )
-    counted = map_arrow(texts.select("lang", "raw"), gram_counts, "lang string, h array<long>, n array<long>")
-    exploded = counted.select("lang", F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy("lang", "x.h").agg(
-        F.sum("x.n").alias("n")
+    counted = map_arrow(chosen.dropDuplicates(["lang", "doc_id"]).select("lang", "raw"), gram_counts, "lang string, h long, n long")
+    counts = staged(counted.groupBy("lang", "h").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("of"))
+    rates = staged(
+        counts.join(totals, "lang").select("lang", "h", (F.col("n") / F.col("of")).alias("rate")).where(F.col("rate") >= LEAST), "rates"
     )
-    # n-grams that the sample has once say nothing; the rest is bounded by the sample's size
-    per: dict[str, tuple[list, list]] = {}
-    for r in exploded.where("n > 1").toLocalIterator():
-        a, b = per.setdefault(r.lang, ([], []))
-        a.append(r.h)
-        b.append(r.n)
-    out = {}
-    for lang, (a, b) in per.items():
-        h = np.array(a, np.int64).view(np.uint64)
-        order = np.argsort(h)
-        out[lang] = (h[order], np.array(b, np.float64)[order])
-    return Filters(out)
+    tops = rates.groupBy("h").agg(F.max("rate").alias("top"))
+    kept = rates.join(tops, "h").where(F.col("rate") >= SHARE * F.col("top")).select("lang", "h")
+    # at most 1 / LEAST numbers a language
+    by = kept.toArrow().group_by("lang").aggregate([("h", "list")])
+    lists = zip(by.column("lang").to_pylist(), by.column("h_list").combine_chunks(), strict=True)
+    return Filters({lang: h.values.to_numpy(zero_copy_only=False).view(np.uint64) for lang, h in lists})
 
 
 def predictor(shared):

@@ -13,7 +13,8 @@ the sample.
 Labels, language, source and id never enter a vector.  Null and empty texts have
 the zero vector and score 0; so does everything when there is no labelled row.
 Repeated documents are scored each; labels that are null or of unknown documents
-are ignored; a document with both labels counts as 0.
+are ignored; a document with both labels counts as 0; a repeated doc_id teaches
+the text of the least hash.
 """
 
 from __future__ import annotations
@@ -139,7 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | Non
         "picked",
     )
     # at most 2 * sample ids: small enough to broadcast
-    texts = docs.select("doc_id", utf8().alias("raw")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    texts = (
+        docs.select("doc_id", utf8().alias("raw"))
+        .join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min_by("raw", F.xxhash64("raw")).alias("raw"))
+    )
     rows = map_arrow(texts.select("quality", "raw"), vectors, "quality int, x binary").collect()
     if not rows:
         return None
