@@ -19,6 +19,7 @@ end id.  Repeated rows are packed each; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import zlib
 from array import array
@@ -38,8 +39,11 @@ WINDOW_ROWS = 200_000
 NODES = 2000
 #: Waste of a sequence, in parts of the mean left, whose fillings a pass tries first.
 SHARES = (4.0, 0.0, 0.5, 1.0, 2.0, 8.0, 16.0)
-#: Pre-tokens that a worker keeps at most.
+#: Pre-tokens that a worker keeps, about; and that are encoded as one text.
 CACHE = 800_000
+JOINED = 64
+#: Marks that are taken off a chunk's end (no apostrophe: it may join letters).
+MARKS = ".,;:!?%&$#*|<>()-"
 _LOADED: dict[str, tuple] = {}
 
 
@@ -50,7 +54,7 @@ def load(path: str):
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = False  # the library's default: special strings are special
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _LOADED[path] = (t, {}, special, t.encode("\n", add_special_tokens=False).ids)
+        _LOADED[path] = (t, [{}, {}], special, t.encode("\n", add_special_tokens=False).ids)
     return _LOADED[path]
 
 
@@ -61,14 +65,39 @@ def _raw(ids) -> bytes:
     return out.tobytes()
 
 
+def pieces_of(parts: list[str], t, feed: int) -> list[bytes]:
+    """The ids of each of some pre-tokens.
+
+    They hold no line feed, so they are encoded in one text with line feeds
+    between them and the ids are cut where the line feed's id stands; should the
+    number of cuts differ, each is encoded alone."""
+    out: list[bytes] = []
+    lines = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+    for some, e in zip(lines, t.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        at = [-1, *np.flatnonzero(ids == feed).tolist(), len(ids)]
+        if len(at) != len(some) + 1:
+            out += [_raw(t.encode(p, add_special_tokens=False).ids) for p in some]
+            continue
+        raw = ids.tobytes()
+        out += [raw[4 * x + 4 : 4 * y] for x, y in zip(at, at[1:])]
+    return out
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers.
 
     A pre-token begins at every blank before a visible character and line feeds
     between visible characters stand alone, so those chunks are encoded once
-    each and joined; any other text is encoded whole."""
-    t, cache, special, line_feed = load(path)
-    feed = _raw(line_feed)
+    each and joined; marks after a letter or number begin another pre-token and
+    are encoded apart.  Any other text is encoded whole.  A worker's cache has two
+    generations: when the young one is full it becomes the old one, whose
+    chunks are taken over when they are met again."""
+    t, caches, special, line_feed = load(path)
+    if len(caches[0]) > CACHE // 2:
+        caches[:] = [{}, caches[0]]
+    young, old = caches
+    young[""], young["\n"] = b"", _raw(line_feed)
     cut, fresh, whole = [], set(), []
     for i, text in enumerate(texts):
         # plain: words parted by single blanks or line feeds, no other white space
@@ -78,19 +107,27 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             continue
         # a mark goes before each blank, so that it stays with its word
         parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        fresh.update(parts)
+        fresh.update(itertools.filterfalse(young.__contains__, parts))
         cut.append(parts)
-    cache[""], cache["\n"] = b"", feed
-    new = [p for p in fresh if p not in cache]
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        cache[""], cache["\n"] = b"", feed
-        new = [p for p in fresh if p not in cache]
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for p, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            cache[p] = _raw(e.ids)
-    out = [b"" if p is None else b"".join(map(cache.__getitem__, p)) for p in cut]
+    again = list(filter(old.__contains__, fresh))
+    young.update(zip(again, map(old.__getitem__, again), strict=True))
+    fresh.difference_update(again)
+    ends: list[tuple[str, str, str]] = []
+    new = set()
+    for p in fresh:
+        word = p.rstrip(MARKS)
+        if len(word) < len(p) and word[-1:].isalnum():
+            mark = p[len(word) :]
+            ends.append((p, word, mark))
+            new.update(x for x in (word, mark) if x not in young)
+        else:
+            new.add(p)
+    order = list(new)
+    for i in range(0, len(order), 20_000):
+        some = order[i : i + 20_000]
+        young.update(zip(some, pieces_of(some, t, line_feed[0]), strict=True))
+    young.update((p, young[word] + young[mark]) for p, word, mark in ends)
+    out = [b"" if p is None else b"".join(map(young.__getitem__, p)) for p in cut]
     for i in whole:
         out[i] = _raw(t.encode(texts[i], add_special_tokens=False).ids)
     return out
@@ -107,8 +144,8 @@ def cutter(path: str, size: int, end: int):
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 1024):
-                for i, ids in enumerate(encode(texts[lo : lo + 1024], path), lo):
+            for lo in range(0, len(texts), 256):
+                for i, ids in enumerate(encode(texts[lo : lo + 256], path), lo):
                     ids += tail
                     n = len(ids) // 4
                     s, k = 0, 0
