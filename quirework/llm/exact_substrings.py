@@ -15,9 +15,10 @@ question:
    done.  A run whose whole context (all bytes of its windows) occurs twice is
    removed whole.
 3. Left are contexts of repeated anchors that differ.  Their windows' hashes are
-   compared among the anchor's distinct contexts; copies come in once.  An
-   anchor with more than ``HOT`` contexts is not gathered: its window hashes are
-   counted by a shuffle of their own.
+   compared among the anchor's distinct contexts, one row for each.  An
+   anchor with more than ``HOT`` contexts is not gathered: its windows are dealt
+   out by their offset from the anchor, and with more than ``HOT * BLOCK``
+   contexts the hashes of its windows are counted by a shuffle of their own.
 
 Matches never cross documents; a null text is empty.  Repeated rows are
 copies of each other, so their windows repeat.  Rows are told apart by
@@ -38,7 +39,10 @@ from quirework.llm.common import batch_of, map_arrow, staged, table, text_of, ut
 WIDTH, GRAM = 400, 64
 #: Distinct contexts of an anchor that one task compares.
 HOT = 4096
-#: Keys of more than one in so many runs are joined by broadcast.
+#: Windows a context that one task compares of an anchor with more contexts.
+BLOCK = 16
+#: Keys of more than one in so many runs, and texts of more than one in so many
+#: rows, are joined by broadcast.
 OFTEN = 4096
 #: Bytes that are hashed at once (a longer text goes alone).
 PIECE = 1 << 21
@@ -166,17 +170,21 @@ def run_rows(width: int, gram: int):
 
 
 def context_rows(width: int):
-    """The bytes of the contexts to compare, out of the documents' texts."""
+    """The bytes of the contexts to compare, out of the documents' texts; a text
+    that comes again in a task with the same doc_id is passed over."""
 
     def work(batches):
+        seen = set()
         for batch in batches:
-            out = {n: [] for n in ("row", "a", "one", "s", "e", "p", "ctx")}
-            for i, (raw, wanted) in enumerate(
-                zip(batch.column("raw").to_pylist(), batch.column("wanted").to_pylist(), strict=True)
-            ):
+            out = {n: [] for n in ("row", "a", "c", "one", "s", "e", "p", "ctx")}
+            columns = (batch.column(n).to_pylist() for n in ("doc_id", "rid", "raw", "wanted"))
+            for i, (doc_id, rid, raw, wanted) in enumerate(zip(*columns, strict=True)):
+                if (doc_id, rid) in seen:
+                    continue
+                seen.add((doc_id, rid))
                 for w in wanted:
                     out["row"].append(i)
-                    for n in ("a", "one", "s", "e", "p"):
+                    for n in ("a", "c", "one", "s", "e", "p"):
                         out[n].append(w[n])
                     out["ctx"].append(raw[w["s"] : w["e"] + width])
             rows = pa.array(out["row"], pa.int64())
@@ -184,6 +192,7 @@ def context_rows(width: int):
                 doc_id=batch.column("doc_id").take(rows),
                 rid=batch.column("rid").take(rows),
                 a=pa.array(out["a"], pa.int64()),
+                c=pa.array(out["c"], pa.int64()),
                 one=pa.array(out["one"], pa.bool_()),
                 s=pa.array(out["s"], pa.int32()),
                 e=pa.array(out["e"], pa.int32()),
@@ -262,28 +271,85 @@ def repeated_windows(width: int):
     return work
 
 
-def hot_rows(width: int):
-    """A row per window of the contexts of an anchor with very many of them."""
+def hot_rows(width: int, limit: int):
+    """Blocks of windows of the contexts of anchors with many (``m``) of them: a
+    row for each block of windows that lie at neighbouring offsets from the
+    anchor (equal windows lie at equal ones), as many as let ``m`` blocks have
+    about ``limit`` windows, with the windows' keys."""
 
     def work(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
-                a, s, e, p = (b.column(n).to_numpy() for n in ("a", "s", "e", "p"))
+                a, s, e, p, m = (b.column(n).to_numpy() for n in ("a", "s", "e", "p", "m"))
                 row, start, key = window_keys(a, s.astype(np.int64), e.astype(np.int64), p.astype(np.int64), b.column("ctx").to_pylist(), width)
-                rows = pa.array(row)
+                wide = np.maximum(1, limit // m)[row]
+                # offsets fall by one from window to window, blocks end where offset / wide changes
+                block = (p.astype(np.int64)[row] - start) // wide
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+                first = np.flatnonzero(new)
+                rows = pa.array(row[first])
+                ends = pa.array(np.append(first, len(row)).astype(np.int32))
                 yield batch_of(
                     doc_id=b.column("doc_id").take(rows),
                     rid=b.column("rid").take(rows),
                     a=b.column("a").take(rows),
                     one=b.column("one").take(rows),
-                    s=pa.array(start.astype(np.int32)),
-                    k=pa.array(key.view(np.int64)),
+                    block=pa.array(block[first]),
+                    s=pa.array(start[first].astype(np.int32)),
+                    k=pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))),
                 )
 
     return work
 
 
+def repeated_keys(width: int):
+    """Spans of the windows whose key comes twice in a block; rows come sorted by
+    anchor and block."""
+
+    def flush(parts):
+        b = pa.Table.from_batches(parts).combine_chunks()
+        lists = b.column("k").combine_chunks()
+        n = lists.value_lengths().to_numpy()
+        key = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        start = b.column("s").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        at = np.flatnonzero((count[back] > 1) & b.column("one").to_numpy(zero_copy_only=False)[row])
+        cut = np.ones(len(at), bool)
+        cut[1:] = (np.diff(at) > 1) | (np.diff(row[at]) > 0)
+        first = at[cut]
+        last = at[np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1)] if len(at) else at
+        rows = pa.array(row[first])
+        return batch_of(
+            doc_id=b.column("doc_id").take(rows).combine_chunks(),
+            rid=b.column("rid").take(rows).combine_chunks(),
+            s=pa.array(start[first].astype(np.int32)),
+            e=pa.array((start[last] + width).astype(np.int32)),
+        )
+
+    def work(batches):
+        parts: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, block = batch.column("a").to_numpy(), batch.column("block").to_numpy()
+            new = np.flatnonzero((a[1:] != a[:-1]) | (block[1:] != block[:-1])) + 1
+            if parts and (parts[-1].column("a")[-1].as_py(), parts[-1].column("block")[-1].as_py()) != (a[0], block[0]):
+                yield flush(parts)
+                parts = []
+            if len(new):
+                parts.append(batch.slice(0, new[-1]))
+                yield flush(parts)
+                parts, batch = [], batch.slice(new[-1])
+            parts.append(batch)
+        if parts:
+            yield flush(parts)
+
+    return work
+
+
 def united(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -328,13 +394,52 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return near.unionByName(far)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, rid, s, e): byte spans that repeated windows cover; ``docs`` has
-    doc_id, rid and raw."""
+def contexts_to_compare(docs: DataFrame, counts: DataFrame, often: DataFrame, width: int) -> DataFrame:
+    """One row per (anchor, distinct context) with the context's bytes.
+
+    ``counts`` names the row (text's hash, place, doc_id) that stands for a
+    context.  Other rows with that doc_id and text fit as well; of a text that
+    the table has ``often`` the rows stay where they are and one is picked after
+    the bytes are cut out, of any other text they meet in one task, which takes
+    the first."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = (
+        counts.select(
+            F.col("least.rid").alias("_r"),
+            F.col("least.doc_id").alias("_d"),
+            F.struct("a", "c", (F.col("n") == 1).alias("one"), "least.s", "least.e", "least.p").alias("w"),
+        )
+        .groupBy("_r", "_d")
+        .agg(F.collect_list("w").alias("wanted"))
+    )
+    same = (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    columns = f"doc_id {kind}, rid long, a long, c long, one boolean, s int, e int, p int, ctx binary"
+
+    def cut(joined: DataFrame) -> DataFrame:
+        return map_arrow(joined.select("doc_id", "rid", "raw", "wanted"), context_rows(width), columns)
+
+    hot = wanted.join(F.broadcast(often.withColumnRenamed("rid", "_r")), "_r", "left_semi")
+    near = cut(docs.join(F.broadcast(hot), same)).dropDuplicates(["a", "c"])
+    rest = wanted.join(F.broadcast(often.withColumnRenamed("rid", "_r")), "_r", "left_anti")
+    return cut(docs.join(F.broadcast(often), "rid", "left_anti").join(rest, same)).unionByName(near)
+
+
+def repeated_spans(
+    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, share: int = OFTEN
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, s, e): byte spans that repeated windows cover, of all texts
+    but those that more than 1/share of the table's rows have; and those texts
+    (rid), fewer than ``share``: each is its own copy and goes whole.  ``docs``
+    has doc_id, rid and raw."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = f"doc_id {kind}, rid long"
-    runs = staged(map_arrow(docs, run_rows(width, gram), f"{ids}, a long, c long, s int, e int, p int"), "runs")
+    long_docs = docs.where(F.octet_length("raw") >= width)
+    runs = staged(map_arrow(long_docs, run_rows(width, gram), f"{ids}, a long, c long, s int, e int, p int"), "runs")
     total = runs.count()
+    # every text has one run that begins at 0
+    copies = runs.where("s = 0").groupBy("rid").agg(F.count(F.lit(1)).alias("k"))
+    rows = runs.where("s = 0").count()
+    often = staged(copies.where((F.col("k") > 1) & (F.col("k") * F.lit(share) > F.lit(rows))).select("rid"), "often")
     twice = staged(
         runs.groupBy("a")
         .agg(F.count(F.lit(1)).alias("t"), F.min("c").alias("c0"), F.max("c").alias("c1"))
@@ -342,67 +447,79 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         .select("a", "t", (F.col("c0") == F.col("c1")).alias("pure")),
         "twice",
     )
-    known = staged(join_counted(runs, twice, ["a"], "t", total, OFTEN).drop("t"), "known")
+    known = staged(join_counted(runs, twice, ["a"], "t", total, share).drop("t"), "known")
     mixed = known.where(~F.col("pure"))
     counts = staged(
-        mixed.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s")).alias("least")), "counts"
+        mixed.groupBy("a", "c").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s", "e", "p", "doc_id")).alias("least")
+        ),
+        "counts",
     )
+    full = (F.col("e") + F.lit(width)).cast("int").alias("e")
+    spans = known.where("pure").select("doc_id", "rid", "s", full)
+    whole = join_counted(mixed, counts.where("n > 1").drop("least"), ["a", "c"], "n", total, share)
+    spans = spans.unionByName(whole.select("doc_id", "rid", "s", full))
+    contexts = contexts_to_compare(long_docs, counts, often, width)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = counts.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    marked = staged(
-        join_counted(mixed, counts, ["a", "c"], "n", total, OFTEN).where((F.col("n") > 1) | (F.struct("rid", "s") == F.col("least"))), "mixed"
-    )
-    full = F.col("e") + F.lit(width)
-    spans = known.where("pure").select("doc_id", "rid", "s", full.cast("int").alias("e"))
-    spans = spans.unionByName(marked.where("n > 1").select("doc_id", "rid", "s", full.cast("int").alias("e")))
-    wanted = (
-        marked.where(F.struct("rid", "s") == F.col("least"))
-        .select("doc_id", "rid", F.struct("a", (F.col("n") == 1).alias("one"), "s", "e", "p").alias("w"))
-        .groupBy("doc_id", "rid")
-        .agg(F.collect_list("w").alias("wanted"))
-        .withColumnsRenamed({"doc_id": "_d", "rid": "_r"})
-    )
-    joined = docs.join(wanted, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    contexts = map_arrow(
-        joined.select("doc_id", "rid", "raw", "wanted"),
-        context_rows(width),
-        f"{ids}, a long, one boolean, s int, e int, p int, ctx binary",
-    )
-    hot_anchors = staged(many.where(F.col("m") > hot).select("a"), "hot")
+    hot_anchors = staged(many.where(F.col("m") > hot), "hot")
     few = contexts
     if not hot_anchors.isEmpty():
+        contexts = staged(contexts, "contexts")
         few = contexts.join(hot_anchors, "a", "left_anti").select(contexts.columns)
-        windows = map_arrow(
-            contexts.join(hot_anchors, "a", "left_semi").select(contexts.columns),
-            hot_rows(width),
-            f"{ids}, a long, one boolean, s int, k long",
+        blocks = staged(
+            map_arrow(
+                contexts.join(hot_anchors, "a").select(*contexts.columns, "m"),
+                hot_rows(width, hot * BLOCK),
+                f"{ids}, a long, one boolean, block long, s int, k array<long>",
+            ),
+            "blocks",
         )
-        windows = staged(windows, "windows")
-        same = windows.groupBy("a", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        # too many for a task even if a block is one window: the windows are counted
+        most = hot_anchors.where(F.col("m") > hot * BLOCK).select("a")
+        by_block = blocks.join(most, "a", "left_anti").select(blocks.columns).repartition(n, "a", "block")
         spans = spans.unionByName(
-            windows.where("one")
-            .join(same, ["a", "k"], "left_semi")
-            .select("doc_id", "rid", "s", (F.col("s") + F.lit(width)).cast("int").alias("e"))
+            map_arrow(by_block.sortWithinPartitions("a", "block"), repeated_keys(width), f"{ids}, s int, e int")
         )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if not most.isEmpty():
+            windows = blocks.join(most, "a", "left_semi").withColumn("k", F.col("k")[0])
+            same = windows.groupBy("a", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            spans = spans.unionByName(
+                windows.where("one")
+                .join(same, ["a", "k"], "left_semi")
+                .select("doc_id", "rid", "s", (F.col("s") + F.lit(width)).cast("int").alias("e"))
+            )
     dealt = few.repartition(n, "a").sortWithinPartitions("a")
-    return spans.unionByName(map_arrow(dealt, repeated_windows(width), f"{ids}, s int, e int"))
+    spans = spans.unionByName(map_arrow(dealt, repeated_windows(width), f"{ids}, s int, e int"))
+    return spans.join(F.broadcast(often), "rid", "left_anti").select("doc_id", "rid", "s", "e"), often
 
 
-def exact_substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def exact_substring_dedup(
+    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, share: int = OFTEN
+) -> DataFrame:
     """What is kept of every document, with counts and its hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("rid"), utf8().alias("raw"))
-    spans = repeated_spans(rows, width, gram, hot)
+    spans, often = repeated_spans(rows, width, gram, hot, share)
     by_doc = (
         spans.groupBy("doc_id", "rid")
-        .agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        .agg(F.collect_set(F.struct("s", "e")).alias("spans"))
         .withColumnsRenamed({"doc_id": "_d", "rid": "_r"})
     )
-    joined = rows.join(by_doc, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    # texts shorter than a window and texts that very many rows share stay where they are
+    short, long_ = rows.where(F.octet_length("raw") < width), rows.where(F.octet_length("raw") >= width)
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.octet_length("raw").alias("e")))
+    none = F.lit(None).cast("array<struct<s: int, e: int>>")
+    joined = long_.join(F.broadcast(often), "rid", "left_anti").join(
+        by_doc, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left"
+    )
+    every = (
+        joined.select("doc_id", "raw", "spans")
+        .unionByName(short.select("doc_id", "raw", none.alias("spans")))
+        .unionByName(long_.join(F.broadcast(often), "rid", "left_semi").select("doc_id", "raw", whole.alias("spans")))
+    )
     return map_arrow(
-        joined.select("doc_id", "raw", "spans"),
-        cut_texts,
-        f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+        every, cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 

@@ -219,8 +219,9 @@ def test_fuzzy_notices_find_all_edits():
     assert notices.spans(b"a license for the software of any kind of person") == []
 
 
-@pytest.mark.parametrize("width,gram,hot", [(400, 64, 4096), (60, 12, 4096), (60, 12, 1)])
-def test_exact_substrings(docs, empty, width, gram, hot):
+@pytest.mark.parametrize("width,gram,hot,block", [(400, 64, 4096, 16), (60, 12, 4096, 16), (60, 12, 1, 16), (60, 12, 1, 1), (60, 12, 2, 3)])
+def test_exact_substrings(docs, empty, width, gram, hot, block, monkeypatch):
+    monkeypatch.setattr(exact_substrings, "BLOCK", block)
     raws = [(i, t.encode()) for i, t in every()]
     count = Counter(t[j : j + width] for _, t in raws for j in range(len(t) - width + 1))
     expected = Counter()
@@ -504,3 +505,150 @@ def test_token_counts(docs, empty):
     assert expected == multiset(got, "doc_id", "n_bytes", "n_tokens", "over_limit")
     assert token_counts.token_counts(empty, path).count() == 0
     assert token_counts.load(path)[2]
+
+
+def test_token_counts_cut_any_text():
+    path = public_tokenizers.path(token_counts.MODEL)
+    sp, alone, _ = token_counts.load(path)
+    rng = random.Random(4)
+    chars = [*"ab ,.\n\n   \t1é½'　\r\x00▁s<>/", "<s>", "</s>", "<unk>", "<0x0A>", "  ", "\n ", "ing", "the"]
+    for _ in range(5000):
+        t = "".join(rng.choice(chars) for _ in range(rng.randint(0, 20)))
+        assert sum(token_counts.pieces(sp, alone, token_counts.cut(t))) == len(sp.encode(t)), t
+
+
+@pytest.mark.parametrize("often", [1, 50, 1 << 20])
+def test_token_counts_join(spark, docs, often):
+    import sentencepiece
+
+    path = public_tokenizers.path(token_counts.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    long_word = "pneumono" * 400
+    made = [(1, f"{long_word} {long_word} a"), (1, f"{long_word} {long_word} a"), (None, " ▁ \n\nb"), (None, None)]
+    texts = spark.createDataFrame(made, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    got = token_counts.token_counts(texts, path, often=often)
+    every_row = [(i, t or "") for i, t in made] + every()
+    assert multiset(got, "doc_id", "n_tokens") == Counter((i, len(sp.encode(t))) for i, t in every_row)
+
+
+def test_packing_encodes_as_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "CACHE", 300)  # generations change all the time
+    rng = random.Random(3)
+    chars = [*"ab'sd ,.\n\n  \t1é½'　\r\x00%&(-", "'ll", "<|endoftext|>", " \n", "²", "ñ", "‍", "😀", "ing."]
+    for _ in range(30):
+        texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 25))) for _ in range(100)]
+        for text, raw in zip(texts, packing.encode(texts, path), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("share", [1, exact_substrings.OFTEN])
+def test_exact_substrings_takes_a_context_once(spark, share):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    variants = [passage + f" variant {k}" * 3 for k in range(3)]
+    made = [(k % 70, variants[0]) for k in range(300)] + [(1000, variants[1]), (None, variants[2]), (None, variants[2])]
+    texts = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    rows = texts.select("doc_id", F.xxhash64("text").alias("rid"), F.col("text").cast("binary").alias("raw"))
+    runs = [exact_substrings.runs_of([v.encode()]) for v in variants]
+    some = [
+        (int(a.view(np.int64)[j]), int(c.view(np.int64)[j]), v, int(s[j]), int(e[j]), int(p[j]))
+        for v, (_, a, c, s, e, p) in zip(variants, runs, strict=True)
+        for j in range(len(a))
+    ]
+    firsts = {(a, c): (v, s, e, p) for a, c, v, s, e, p in some}
+    rid = {r.text: r.rid for r in texts.select("text", F.xxhash64("text").alias("rid")).distinct().collect()}
+    ids = {variants[0]: 0, variants[1]: 1000, variants[2]: None}
+    counts = spark.createDataFrame(
+        [(a, c, 2, (rid[v], s, e, p, ids[v])) for (a, c), (v, s, e, p) in firsts.items()],
+        "a long, c long, n long, least struct<rid: long, s: int, e: int, p: int, doc_id: long>",
+    )
+    often = rows.groupBy("rid").count().where(f"count > 1 and count * {share} > 303").select("rid")
+    got = exact_substrings.contexts_to_compare(rows, counts, often, exact_substrings.WIDTH)
+    assert Counter((r.a, r.c) for r in got.select("a", "c").collect()) == Counter(firsts.keys())
+    whole = exact_substrings.exact_substring_dedup(texts, share=share)
+    count = Counter(v.encode()[j : j + 400] for _, v in made for j in range(len(v) - 399))
+    for r in whole.collect():
+        v = next(v for v in variants if len(v) == r.n_bytes and (r.doc_id, v) in made)
+        cover = bytearray(len(v))
+        for j in range(len(v) - 399):
+            if count[v.encode()[j : j + 400]] > 1:
+                cover[j : j + 400] = b"\1" * 400
+        assert r.n_removed == sum(cover)
+
+
+def test_votes_against_brute_force():
+    rng = np.random.RandomState(2)
+    rows = np.zeros((90, quality_knn.TERMS + quality_knn.FORMS), np.float32)
+    rows[:, :40] = rng.poisson(1.0, (90, 40)) + (np.arange(90) % 3 > 0)[:, None] * (np.arange(40) < 9)
+    rows[:, quality_knn.TERMS + rng.randint(0, 12, 90)] = 1
+    rows[3] = rows[4]  # equal vectors
+    labels = (np.arange(90) % 3 > 0).astype(int)
+    space = quality_knn.Space(rows[:70], labels[:70])
+    got = space.scores(np.vstack([rows, np.zeros((1, rows.shape[1]), np.float32)]), neighbours=70)
+    share = [(labels[:70] == c).mean() for c in (0, 1)]
+    for x, score in zip(rows, got, strict=False):
+        z = space.weighted(x[None])[0].astype(float) @ space.basis
+        z /= np.linalg.norm(z)
+        w = [max(0.0, float(z @ k)) ** quality_knn.POWER / share[y] for k, y in zip(space.known, labels[:70], strict=True)]
+        assert score == pytest.approx(sum(v for v, y in zip(w, labels, strict=False) if y) / sum(w), abs=1e-3)
+    assert got[-1] == 0
+    # with few neighbours only the nearest vote
+    one = space.scores(rows[:70], neighbours=1)
+    assert ((one > 0.5) == (labels[:70] == 1)).mean() > 0.97
+
+
+def test_quality_knn_repeated_and_clashing(spark):
+    made = [(i, ("good words in line " * 9 if i % 2 else "BAD!! " * 40) + str(i), "clash", 5) for i in range(60)]
+    made += [(7, "another text of that id", "x", 1), (7, "another text of that id", "x", 1), (None, "n", "x", 1)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, quality string, score int")
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    a, b = (
+        multiset(quality_knn.quality_scores(docs.repartition(n), marks).withColumn("s", F.round("score", 4)), "doc_id", "s")
+        for n in (1, 5)
+    )
+    assert a == b and a.total() == 63
+
+
+def brute_grams(raw):
+    text = b" " + b" ".join(bytes(c + 32 if 65 <= c <= 90 else c for c in raw).split()) + b" "
+    return [text[j : j + n] for n in langid.SIZES for j in range(len(text) - n + 1)]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7, 1])
+def test_langid_hits_against_brute_force(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng = random.Random(12)
+    say = lambda seed, n: " ".join("".join(random.Random(f"{seed}{rng.randint(0, 30)}").choice("abcdefghé") for _ in range(5)) for _ in range(n))
+    learned = {f"l{i:02}": say(i, 20).encode() for i in range(70)}  # two words of languages
+    hashed = {k: np.concatenate(list(langid.grams(v))) for k, v in learned.items()}
+    filters = langid.Filters(hashed)
+    assert filters.words == 2
+    sets = {k: set(brute_grams(v)) for k, v in learned.items()}
+    for raw in [*list(learned.values())[::9], b"", b" ", b"A", b"q  Q\n\tzz", say(3, 40).encode()]:
+        mine = brute_grams(raw)
+        hits, n = filters.hits(raw)
+        assert n == len(mine) == sum(map(len, langid.grams(raw)))
+        for name, got, false in zip(filters.names, hits, filters.false, strict=True):
+            true = sum(g in sets[name] for g in mine)
+            assert true <= got <= true + 3 + 20 * n * false
+    for name, raw in list(learned.items())[::7]:
+        assert filters.predict(raw.decode())[0] == name
+    assert [filters.predict(t)[0] for t in ("½ ² ①", "12_", None, "")] == ["und"] * 4
+
+
+def test_langid_learns_every_language(spark):
+    made = [(i, f"{chr(0x4E00 + 40 * (i % 80))}{chr(0x4E01 + 40 * (i % 80))}" * 6, f"t{i % 80}", "clash", 1.0) for i in range(240)]
+    made += [(5, "other text of an id", "t5", "c", 0.0), (5, "other text of an id", "t5", "c", 0.0), (None, "x", None, None, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, lang_pred string, score double")
+    filters = langid.learn(docs, texts=100)
+    assert filters.names == sorted({f"t{i}" for i in range(80)}) and filters.words == 2
+    got = langid.identify(docs, filters).collect()
+    assert len(got) == 243
+    assert all(r.lang_pred == f"t{r.doc_id % 80}" for r in got if r.doc_id is not None and r.doc_id != 5)
+    # equal evidence: the first by name
+    twins = langid.Filters({"b": np.concatenate(list(langid.grams(b"same"))), "a": np.concatenate(list(langid.grams(b"same")))})
+    assert twins.predict("same") == ("a", 0.5)
