@@ -34,7 +34,14 @@ def fenced_blocks(docs: DataFrame) -> DataFrame:
 
 
 def is_marker(text="text") -> Column:
-    return T.trim_space(text).rlike(MARKER)
+    """A page marker, whether or not its number can be read."""
+    return T.trim_space(text).startswith("<!-- page:")
+
+
+def marker_page(text="text") -> Column:
+    """A marker's page; null if it is no number."""
+    rest = F.regexp_replace(F.substring(T.trim_space(text), 11, 2**30), "(-->)+$", "")
+    return T.trim_space(rest).try_cast("int")
 
 
 def is_content(text="text") -> Column:
@@ -45,10 +52,65 @@ def is_content(text="text") -> Column:
 
 def with_pages(parts: DataFrame) -> DataFrame:
     """The page of each block, by forward fill of the markers; null before the
-    first one."""
+    first one and behind one whose number can't be read."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    page = F.when(is_marker(), F.struct(marker_page().alias("n")))
+    return parts.withColumn("is_marker", is_marker()).withColumn("page", F.last(page, ignorenulls=True).over(w)["n"])
+
+
+def with_counted_pages(parts: DataFrame) -> DataFrame:
+    """The same for views and translations: a marker without a number stands for
+    the page after the last one, and pages before the first are 0."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    x = parts.withColumn("is_marker", is_marker()).withColumn("_n", F.when(is_marker(), marker_page()))
+    x = x.withColumn("_g", F.count("_n").over(w))
+    more = F.sum((F.col("is_marker") & F.col("_n").isNull()).cast("int")).over(Window.partitionBy("doc_id", "_g").orderBy("pos"))
+    known = F.coalesce(F.last("_n", ignorenulls=True).over(w), F.lit(0))
+    return x.withColumn("page", (known + more).cast("int")).drop("_n", "_g")
+
+
+def split_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, text) by markers anywhere in the text; texts of one page
+    are joined, what stands before the first marker, behind a marker without a
+    number or behind an unterminated one goes."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", "<!-- page:")).alias("pos", "s")).where("pos > 0")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    end = F.instr("s", "-->")
+    x = parts.withColumn("stopped", F.max((end == 0).cast("int")).over(w)).where("stopped = 0")
+    x = x.select(
+        "doc_id", "pos", T.trim_space(F.substring(F.col("s"), F.lit(1), end - 1)).try_cast("int").alias("page"),
+        F.substring(F.col("s"), end + 3, F.length("s")).alias("t"),
+    )
+    out = x.where("page is not null").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("x"))
+    return out.select("doc_id", "page", F.array_join("x.t", "").alias("text"))
+
+
+def located(parts: DataFrame, page: int, block: int) -> DataFrame:
+    """The trimmed text of one content block of each document."""
+    own = numbered(parts).where((F.col("page") == page) & (F.col("block") == block))
+    return own.select("doc_id", T.trim_space("text").alias("text"))
+
+
+def first_blocks(parts: DataFrame, most: int) -> DataFrame:
+    """Blocks up to the ``most``-th content block; markers and images are not
+    counted."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    page = F.when(is_marker(), F.regexp_extract(T.trim_space("text"), MARKER, 1).cast("int"))
-    return parts.withColumn("is_marker", is_marker()).withColumn("page", F.last(page, ignorenulls=True).over(w))
+    return parts.withColumn("_n", F.sum(is_content().cast("int")).over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def page_subset(parts: DataFrame, first: int, last: int, offset: int) -> DataFrame:
+    """Blocks of pages first..last, pages renumbered by an offset, in the
+    markers as well."""
+    kept = parts.where(F.col("page").between(first, last)).withColumn("page", F.col("page") + offset)
+    marker = F.concat(F.lit("<!-- page: "), F.col("page").cast("string"), F.lit(" -->"))
+    return kept.withColumn("text", F.when(F.col("is_marker"), marker).otherwise(F.col("text")))
+
+
+def edited_pages(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """Pages with whole new texts; an edit that holds a marker or names a page
+    that isn't there is refused (it changes nothing)."""
+    fair = edits.where(~F.contains(F.col("text"), F.lit("<!-- page:")))
+    return replace_pages(pages, fair)
 
 
 def numbered(parts: DataFrame, page: str = "page") -> DataFrame:

@@ -79,3 +79,23 @@ def translate(units: DataFrame, model: Callable[[pd.Series], pd.Series], identit
     doubt = F.coalesce(doubt, F.when(marks | links, "formatting_lost"), F.when(lost, "numbers"))
     kept = F.when(doubt == "empty", F.col("text")).otherwise(F.col("translated"))
     return out.withColumn("doubt", doubt).withColumn("translated", kept)
+
+
+def doubts_view(doubts: DataFrame, parts: DataFrame, most: int = 160) -> DataFrame:
+    """Doubts (doc_id, page, block, doubt) with the beginning of their block on
+    one line; empty where the block is gone."""
+    text = F.replace(F.substring(T.trim_space("text"), 1, most), F.lit("\n"), F.lit(" "))
+    own = parts.select("doc_id", "page", "block", text.alias("excerpt"))
+    return doubts.join(own, ["doc_id", "page", "block"], "left").withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
+
+
+def doubt_counts(doubts: DataFrame) -> DataFrame:
+    """How many doubts there are of each kind."""
+    return doubts.groupBy("doubt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def saved_translations(documents: DataFrame, done: DataFrame, names: Column) -> DataFrame:
+    """Finished translations of known documents with their language's name, by
+    document and name."""
+    own = done.join(documents.select("doc_id"), "doc_id", "left_semi")
+    return own.withColumn("label", names).orderBy("doc_id", "label")
