@@ -229,3 +229,82 @@ def language_name(code) -> Column:
     for k, v in LANGUAGES.items():
         out = F.when(col(code) == k, v).otherwise(out)
     return out
+
+
+#: Symbols that any text may hold (fixed values).
+USUAL = "«»“”‘’—–…·•°%€£§¶©®™¿¡"
+
+
+def foreign_symbols(text, reference) -> Column:
+    """Symbols of a text that the reference has nowhere, each once, in order."""
+    chars = F.array_distinct(F.split(F.regexp_replace(col(text), rf"[\p{{L}}\p{{N}}\s!-/:-@\[-`{{-~{USUAL}]", ""), ""))
+    return F.filter(chars, lambda c: (c != "") & ~F.contains(col(reference), c))
+
+
+def clean_output(text) -> Column:
+    """A model's output without terminal codes and its end mark."""
+    t = F.regexp_replace(col(text), "\u001b(\\[[^A-Za-z]*[A-Za-z]?)?", "")
+    return trim_space(F.replace(t, F.lit("[end of text]"), F.lit("")))
+
+
+#: Side that a figure has at least, of 1000.
+FIGURE_SIDE = 40
+
+
+def figure_box(tag) -> Column:
+    """left, top, right, bottom out of ``bbox_l_t_r_b`` in an image tag, 1000 at
+    most; null if there are no four numbers or the figure is too small."""
+    rx = r"bbox_([0-9]+)[_.\"']([0-9]+)[_.\"']([0-9]+)[_.\"']([0-9]+)(?:[_.\"']|$)"
+    part = lambda i: F.least(F.lit(1000), F.regexp_extract(col(tag), rx, i).try_cast("int"))
+    sides = [part(i) for i in range(1, 5)]
+    fits = (sides[2] >= sides[0] + FIGURE_SIDE) & (sides[3] >= sides[1] + FIGURE_SIDE)
+    return F.when(fits, F.struct(*(s.alias(n) for s, n in zip(sides, ("left", "top", "right", "bottom"), strict=True))))
+
+
+def format_of(name) -> Column:
+    """The format label of a file name."""
+    ext = F.lower(F.element_at(F.split(col(name), r"\."), -1))
+    return F.when(ext == "markdown", "md").when(ext == "htm", "html").otherwise(ext)
+
+
+def stem(name) -> Column:
+    return F.regexp_replace(col(name), r"(?i)\.[a-z0-9]+$", "")
+
+
+def duration_label(seconds) -> Column:
+    """Seconds under 90, minutes under 90, else hours with a decimal comma."""
+    s = col(seconds).cast("double")
+    return (
+        F.when(s < 90, F.concat(F.greatest(F.lit(1), F.floor(s + 0.5)).cast("string"), F.lit(" s")))
+        .when(s < 5400, F.concat(F.floor(s / 60 + 0.5).cast("string"), F.lit(" min")))
+        .otherwise(F.concat(F.replace(F.format_string("%.1f", s / 3600), F.lit("."), F.lit(",")), F.lit(" h")))
+    )
+
+
+def plural(n, one: str, many: str) -> Column:
+    """A number with its noun; points part thousands from five digits on."""
+    digits = F.when(F.abs(col(n)) >= 10000, F.replace(F.format_number(col(n), 0), F.lit(","), F.lit("."))).otherwise(col(n).cast("string"))
+    return F.concat(digits, F.when(col(n) == 1, f" {one}").otherwise(f" {many}"))
+
+
+def data_uri(path, content) -> Column:
+    """A file as a data URI."""
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+
+
+def translation_limits(text, least: int, most: int) -> Column:
+    """Token limit, context (whole 1024s between the bounds) and seconds that a
+    translation of a text gets."""
+    words = F.size(F.filter(F.split(col(text), r"\s+"), lambda w: w != ""))
+    tokens = F.greatest(F.lit(64), F.least(F.lit(6144), words * 4))
+    needed = F.ceil((F.floor(F.octet_length(col(text)) / 3) + 400 + tokens) / 1024).cast("int") * 1024
+    return F.struct(
+        tokens.alias("tokens"),
+        F.greatest(F.lit(least), F.least(F.lit(most), needed)).alias("context"),
+        F.greatest(F.lit(120), words * 2).alias("seconds"),
+    )
+
+
+def reread_tokens(words) -> Column:
+    """The token limit of a second reading of a page of so many words."""
+    return F.greatest(F.lit(1024), F.least(F.lit(4096), col(words) * 6))

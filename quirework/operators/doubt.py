@@ -74,3 +74,25 @@ def scanned_documents(facts: DataFrame) -> DataFrame:
     scan = ~text & (F.coalesce("image_coverage", F.lit(0.0)) >= 0.5)
     n = facts.groupBy("book").agg(F.count_if(text).alias("text_pages"), F.count_if(scan).alias("scan_pages"))
     return n.withColumn("scanned", (F.col("scan_pages") > 0) & (F.col("scan_pages") >= F.col("text_pages")))
+
+
+def pages_to_reread(doubtful: DataFrame, figures: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Doubtful pages and pages with figures, each once; all of them if asked."""
+    if every is not None:
+        return every.select("book", "page").distinct()
+    return doubtful.select("book", "page").union(figures.select("book", "page")).distinct()
+
+
+def image_coverage(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """The share of each page that its largest image covers, 0 without one.
+    ``pages``: book, page, width, height; ``images``: book, page, w, h."""
+    size = images.groupBy("book", "page").agg(F.max(F.col("w") * F.col("h")).alias("_a"))
+    area = F.col("width") * F.col("height")
+    share = F.when(area > 0, F.coalesce("_a", F.lit(0.0)) / area).otherwise(0.0)
+    return pages.join(size, ["book", "page"], "left").withColumn("image_coverage", share).drop("_a")
+
+
+def visible_letters(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """Letters and digits of each page's visible lines, 0 without any."""
+    n = lines.groupBy("book", "page").agg(F.sum(F.length(T.letters_only("text"))).alias("visible_letters"))
+    return pages.join(n, ["book", "page"], "left").withColumn("visible_letters", F.coalesce("visible_letters", F.lit(0).cast("long")))

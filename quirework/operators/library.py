@@ -66,3 +66,54 @@ def palette(commands: DataFrame, query: str, most: int = 60) -> DataFrame:
 def next_step(view: DataFrame) -> DataFrame:
     step = F.when(~F.col("converted"), "convert").when(F.col("pending") > 0, "review").when(~F.col("exported"), "export").otherwise("done")
     return view.withColumn("step", step)
+
+
+def set_option(library: DataFrame, id, value: bool) -> tuple[DataFrame, bool]:
+    """The library with a document's option set, and whether there is one."""
+    changed = library.withColumn("visual_full", F.when(F.col("id") == id, F.lit(value)).otherwise(F.col("visual_full")))
+    return changed, not library.where(F.col("id") == id).isEmpty()
+
+
+def decisions_of(decisions: DataFrame, doc) -> DataFrame:
+    return decisions.where(F.col("doc_id") == doc)
+
+
+def without_decisions(decisions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Decisions of all documents but these."""
+    return decisions.join(docs.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+
+
+def listed(library: DataFrame) -> DataFrame:
+    """Documents in the order in which they came."""
+    return library.orderBy("added_at", "id")
+
+
+#: Columns that each version of the store added.
+VERSIONS = {1: ("id", "name", "path", "pages", "added_at"), 2: ("visual_full",), 3: ("decided",)}
+
+
+def upgraded(library: DataFrame, version: int) -> DataFrame:
+    """A library of an older version with the columns that came since (null);
+    a newer one is refused."""
+    if version not in VERSIONS:
+        raise ValueError(f"version {version} is newer than {max(VERSIONS)}")
+    for later in range(version + 1, max(VERSIONS) + 1):
+        for c in VERSIONS[later]:
+            if c not in library.columns:
+                library = library.withColumn(c, F.lit(None).cast("boolean"))
+    return library
+
+
+def document_view(library: DataFrame, results: DataFrame, running: DataFrame, translations: DataFrame, reviews: DataFrame) -> DataFrame:
+    """What the library shows of a document: whether it is converted, what runs
+    on it, its translations, and its review items (pending ones too)."""
+    task = running.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("task")), ",").alias("tasks"))
+    done = translations.groupBy("id").agg(F.count(F.lit(1)).alias("translations"))
+    zero = F.lit(0).cast("long")
+    x = library.join(results.select("id", F.lit(True).alias("converted")).distinct(), "id", "left").join(task, "id", "left")
+    x = x.join(done, "id", "left").join(reviews.select("id", "items", "pending"), "id", "left")
+    return (
+        x.withColumn("converted", F.coalesce("converted", F.lit(False)))
+        .withColumn("tasks", F.coalesce("tasks", F.lit("")))
+        .withColumns({c: F.coalesce(c, zero) for c in ("translations", "items", "pending")})
+    )

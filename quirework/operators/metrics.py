@@ -128,3 +128,10 @@ def verified(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(f, "path", "left").withColumn("status", status).drop("_h")
 
 
+
+
+def expected_titles(curated: DataFrame, outline: DataFrame) -> DataFrame:
+    """(book, ord, title): the curated list of a book, or else its outline."""
+    rest = outline.join(curated.select("book").distinct(), "book", "left_anti")
+    own = curated.withColumn("title", T.trim_space("title")).where("title <> ''")
+    return own.select("book", "ord", "title").unionByName(rest.select("book", "ord", "title"))

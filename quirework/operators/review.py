@@ -153,3 +153,52 @@ def review_counts(view: DataFrame) -> DataFrame:
         F.sum("risk").alias("risk"),
         F.sum(F.when(F.col("pending"), F.col("risk")).otherwise(0.0)).alias("pending_risk"),
     )
+
+
+def queue(view: DataFrame, which: str = "all") -> DataFrame:
+    """The queue's items: all, pending or done, each with one to three dots by
+    its share of the largest risk shown."""
+    x = {"all": view, "pending": view.where("pending"), "done": view.where("not pending")}[which]
+    top = x.groupBy("book").agg(F.greatest(F.lit(1.0), F.max("risk")).alias("_top"))
+    dots = F.greatest(F.lit(1), F.floor(F.col("risk") * 3 / F.col("_top") + 0.5).cast("int"))
+    return x.join(top, "book").withColumn("dots", dots).drop("_top")
+
+
+def progress(view: DataFrame) -> DataFrame:
+    """Per book: items, decided ones, and the pending risk in per cent."""
+    counts = review_counts(view)
+    share = F.when(F.col("risk") > 0, F.floor(100 * F.col("pending_risk") / F.col("risk") + 0.5).cast("int")).otherwise(0)
+    return counts.select("book", "items", (F.col("items") - F.col("pending")).alias("decided"), share.alias("share"))
+
+
+def flagged(view: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and pages that the reader marks."""
+    blocks = view.where("block is not null").select("book", "page", "block").distinct()
+    return blocks, view.where("block is null").select("book", "page").distinct()
+
+
+#: What is said of each reason.
+SAID = {
+    "unsupported": "Words that the source text doesn't have: ",
+    "odd": "Odd characters or words: ",
+    "suspect": "Possible reading errors: ",
+}
+PAGES_SAID = {"doubtful": "Doubtful page, not read again", "reread": "Page read again by the visual model: compare it with the original"}
+
+
+def reason_text(reason: Column, examples: Column) -> Column:
+    """A reason in words, with its examples."""
+    out = F.lit(None).cast("string")
+    for k, v in SAID.items():
+        out = F.when(reason == k, F.concat(F.lit(v), F.array_join(examples, ", "))).otherwise(out)
+    for k, v in PAGES_SAID.items():
+        out = F.when(reason == k, v).otherwise(out)
+    return out
+
+
+def erroneous_blocks(blocks: DataFrame, transcription: DataFrame) -> DataFrame:
+    """Blocks with a word that the page's transcription doesn't have."""
+    words = blocks.select("book", "page", "block", F.explode(F.array_distinct(T.tok_alnum("text"))).alias("word"))
+    right = transcription.select("book", "page", F.explode(F.array_distinct(T.tok_alnum("text"))).alias("word")).distinct()
+    own = transcription.select("book", "page").distinct()
+    return words.join(own, ["book", "page"], "left_semi").join(right, ["book", "page", "word"], "left_anti").select("book", "page", "block").distinct()

@@ -36,8 +36,11 @@ def lost_numbers(source: Column, target: Column) -> Column:
 
 def terms_in(texts: DataFrame, glossary: DataFrame, most: int = 200) -> DataFrame:
     """(id, terms): glossary terms in each text, in the glossary's order.  The
-    glossary is bounded to ``most`` terms, so it may be broadcast."""
-    terms = F.broadcast(glossary.orderBy("ord").limit(most))
+    glossary holds ``most`` terms at most (a longer one is refused), so it may be
+    broadcast."""
+    if glossary.limit(most + 1).count() > most:
+        raise ValueError(f"a glossary has {most} terms at most")
+    terms = F.broadcast(glossary)
     hit = texts.join(terms, T.contains_word("text", F.col("source")))
     out = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", "source"))).alias("x"))
     return out.select("id", F.transform("x", lambda x: x["source"]).alias("terms"))

@@ -17,8 +17,9 @@ from quirework.plans.standard import SQUEEZE, TRIM, query, read
 NL = "\n"
 
 
-def marked(spark, sf_dir) -> DataFrame:
-    """(doc_id, text): the Markdown."""
+def marked(spark, sf_dir, text=None) -> DataFrame:
+    """(doc_id, text): the Markdown of the documents' texts (or of what is made
+    of them)."""
 
     def block(s, i):
         page = F.concat(F.lit("<!-- page: "), (F.floor(i / 3) + 1).cast("string"), F.lit(" -->\n\n"))
@@ -33,7 +34,7 @@ def marked(spark, sf_dir) -> DataFrame:
         return F.concat(mark, body)
 
     docs = read(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), block), "\n\n").alias("text"))
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text" if text is None else text, "\n"), block), "\n\n").alias("text"))
 
 
 def parts(spark, sf_dir) -> DataFrame:
@@ -53,6 +54,7 @@ b1 as (select *, {TRIM.format('text')} as t from b0),
 b2 as (select *, starts_with(t, '<!-- page:') as m, try_cast({TRIM.format("regexp_replace(substr(t, 11), '(-->)+$', '')")} as int) as n from b1),
 b as (select *, last_value(case when m then {{'n': n}} end ignore nulls) over (partition by doc_id order by pos).n as page,
    t <> '' and not starts_with(t, '![') and not starts_with(t, '<!--') as c from b2)"""
+RUN_ON = "from (select doc_id, lower(replace(text, '.', '')) as text from documents)"
 LINE = f"""{MD},
 l0 as (select doc_id, unnest(ls) as s, generate_subscripts(ls, 1) - 1 as line from (select doc_id, string_split(text, chr(10)) as ls from md)),
 l1 as (select *, starts_with(ltrim(s, ' '), '```') as f, sum(starts_with(ltrim(s, ' '), '```')::int) over (partition by doc_id order by line) % 2 = 1 as o from l0),
@@ -170,7 +172,7 @@ def contents(spark, sf_dir):
 
 
 @query(
-    f"with {PARTS}, x as (select doc_id, pos, t, sum(m::int) over (partition by doc_id order by pos) as marks, c from b), "
+    f"with {PARTS.replace('from documents', RUN_ON)}, x as (select doc_id, pos, t, sum(m::int) over (partition by doc_id order by pos) as marks, c from b), "
     "y as (select *, lead(pos) over w as np, lead(t) over w as nt, lead(marks) over w as nm from x where c window w as (partition by doc_id order by pos)), "
     "p as (select *, not regexp_matches(t, '^(```|\\$\\$|!\\[|\\||#{1,6} |[-*] |[0-9]+\\. )') as plain, "
     "not regexp_matches(nt, '^(```|\\$\\$|!\\[|\\||#{1,6} |[-*] |[0-9]+\\. )') as nplain from y), "
@@ -180,7 +182,8 @@ def contents(spark, sf_dir):
     "as k, min(runs) over (partition by doc_id, island) as pure from i) where runs and (case when pure then k else k - 1 end) % 2 = 1"
 )
 def continuations(spark, sf_dir):
-    return B.continuations(parts(spark, sf_dir))
+    """Paragraphs that run on over a page, in texts without full stops."""
+    return B.continuations(B.with_pages(B.blocks(marked(spark, sf_dir, F.lower(F.replace("text", F.lit("."), F.lit("")))))))
 
 
 @query(

@@ -24,21 +24,25 @@ MANIFEST = (
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (path, text), line ends unified."""
+    """Whole files as (path, text), CRLF as LF."""
     x = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    return x.select("path", F.regexp_replace("value", "\r\n?", "\n").alias("text")).where(T.supported("path"))
+    return x.select("path", F.regexp_replace("value", "\r\n", "\n").alias("text")).where(T.supported("path"))
 
 
 def normalized_markers(text) -> Column:
-    """Each page marker a block of its own; line ends unified; no blank start."""
-    t = F.regexp_replace(T.col(text), "\r\n?", "\n")
+    """Each page marker a block of its own; CRLF as LF; no blank start."""
+    t = F.regexp_replace(T.col(text), "\r\n", "\n")
     t = F.regexp_replace(t, r"\s*(<!-- page:[^>]*?-->)\s*", "\n\n$1\n\n")
     return F.regexp_replace(t, r"^\s+", "")
 
 
-def binaries(spark: SparkSession, path: str, most: int = 2 << 30) -> DataFrame:
-    """(path, id, bytes, content): files up to a size, named by their SHA-256."""
-    x = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
+def binaries(spark: SparkSession, path: str, most: int = 512 << 20) -> DataFrame:
+    """(path, id, bytes, content): files named by their SHA-256; a file over the
+    size is refused."""
+    x = spark.read.format("binaryFile").load(path)
+    large = x.where(F.col("length") > most).select("path").first()
+    if large:
+        raise ValueError(f"{large.path} has more than {most} bytes")
     return x.select("path", F.sha2("content", 256).alias("id"), F.col("length").alias("bytes"), "content")
 
 
@@ -55,6 +59,32 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return x
 
 
+def loose_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target) of a tab-separated glossary; other lines are passed over."""
+    return loose_terms(spark.read.text(path))
+
+
+def loose_terms(lines: DataFrame) -> DataFrame:
+    """The same of lines in ``value``."""
+    parts = F.split("value", "\t")
+    x = lines.select(T.trim_space(parts[0]).alias("source"), T.trim_space(F.get(parts, 1)).alias("target"))
+    return x.where("source <> '' and target <> ''")
+
+
+def package_images(references: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, name, entry): the one entry of the document's package that is a
+    referenced path or ends with it; references with none or several are left
+    out.  ``.`` and ``..`` parts of a path are dropped; paths meet by equality
+    through the entries' path ends."""
+    steps = F.filter(F.split(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", ".", ".."))
+    wanted = references.select("doc_id", "name", F.array_join(steps, "/").alias("tail")).where("tail <> ''").distinct()
+    cut = F.split("entry", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(cut)), lambda i: F.array_join(F.slice(cut, i, F.size(cut)), "/"))
+    ends = entries.select("doc_id", "entry", F.explode(tails).alias("tail"))
+    x = wanted.join(ends, ["doc_id", "tail"]).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"))
+    return x.where("n = 1").select("doc_id", "name", "entry")
+
+
 def page_range(first, last, pages) -> Column:
     return F.struct(F.greatest(T.col(first), F.lit(1)).alias("first"), F.least(T.col(last), T.col(pages)).alias("last"))
 
