@@ -182,21 +182,23 @@ def supported(path) -> Column:
     return F.lower(F.element_at(F.split(col(path), r"\."), -1)).isin(*FORMATS) & F.contains(col(path), F.lit("."))
 
 
-#: Scripts by code-point range.
+#: The letters of each script by code-point range.
 SCRIPTS = {
-    "latin": "A-Za-z\\u00C0-\\u024F\\u1E00-\\u1EFF",
-    "greek": "\\u0370-\\u03FF\\u1F00-\\u1FFF",
-    "cyrillic": "\\u0400-\\u052F",
-    "hebrew": "\\u0590-\\u05FF",
-    "arabic": "\\u0600-\\u06FF",
-    "cjk": "\\u3040-\\u30FF\\u3400-\\u9FFF\\uAC00-\\uD7AF",
+    "latin": r"\x{0}-\x{24F}\x{1E00}-\x{1EFF}",
+    "greek": r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}",
+    "cyrillic": r"\x{400}-\x{52F}",
+    "hebrew": r"\x{590}-\x{5FF}",
+    "arabic": r"\x{600}-\x{6FF}",
+    "cjk": r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}",
 }
 
 
 def script_letters(text, script: str) -> Column:
-    """How many characters of a script the text holds."""
+    """How many letters of a script the text holds; "other" are those of none."""
     t = col(text)
-    return F.length(t) - F.length(F.regexp_replace(t, f"[{SCRIPTS[script]}]", ""))
+    if script == "other":
+        return F.length(F.regexp_replace(t, rf"[\P{{L}}{''.join(SCRIPTS.values())}]", ""))
+    return F.length(t) - F.length(F.regexp_replace(t, rf"[{SCRIPTS[script]}&&\p{{L}}]", ""))
 
 
 def main_script(text) -> Column:
@@ -206,14 +208,36 @@ def main_script(text) -> Column:
     return F.when(best["n"] < 0, best["s"])
 
 
-def is_odd(token) -> Column:
-    """A replacement character or a mix of letters and digits that switches
-    twice or more, ordinals ("3rd") and single-letter codes ("A4") aside."""
-    t = F.regexp_replace(col(token), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    mixed = t.rlike(r"\p{L}[0-9]|[0-9]\p{L}")
-    ordinal = F.lower(t).rlike(r"^[0-9]+(st|nd|rd|th|er|re|e|o|a|º|ª)$")
-    code = t.rlike(r"^\p{L}[0-9]+$|^[0-9]+\p{L}$")
-    return F.contains(col(token), F.lit("�")) | (mixed & ~ordinal & ~code)
+#: What may follow a number in an ordinal.
+ORDINALS = ("st", "nd", "rd", "th", "d", "o", "a", "er", "e", "re", "eme", "ème", "º", "ª", "os", "as", "do", "to")
+
+
+def odd_form(token) -> Column:
+    """A token as it is judged: without marks at its ends."""
+    return F.regexp_replace(col(token), "^[^\\p{L}\\p{N}\uFFFD]+|[^\\p{L}\\p{N}\uFFFD]+$", "")
+
+
+def is_odd(token, main=None) -> Column:
+    """A replacement character, a letter of another script than the ``main`` one,
+    or letters and digits mixed, but for ordinals ("3rd") and codes of one letter
+    ("A25"); link parts are not looked at."""
+    # most tokens hold no digit and no other letters: they are told by one look
+    foreign = F.lit(False)
+    if main is not None:
+        foreign = (col(main) != "latin") | col(token).rlike("[" + "".join(r for s, r in SCRIPTS.items() if s != "latin") + "]")
+    maybe = col(token).rlike("[\\p{N}\uFFFD]") | F.coalesce(foreign, F.lit(False))
+    t = odd_form(token)
+    kinds = F.regexp_replace(t, r"[^\p{L}\p{N}]", "")
+    switches = F.size(F.regexp_extract_all(kinds, F.lit(r"(\p{L}(?=\p{N})|\p{N}(?=\p{L}))"), 1))
+    ordinal = t.rlike(r"^[\p{N}&&[^0]]") & (switches == 1) & F.lower(F.regexp_replace(t, r"^\p{N}+", "")).isin(*ORDINALS)
+    code = (switches == 1) & kinds.rlike(r"^\p{L}\p{N}")
+    odd = F.contains(t, F.lit("\uFFFD")) | ((switches >= 1) & ~ordinal & ~code)
+    if main is not None:
+        others = F.lit(False)
+        for s in SCRIPTS:
+            others = others | ((col(main) != s) & t.rlike(rf"[{SCRIPTS[s]}&&\p{{L}}]"))
+        odd = odd | F.coalesce(others, F.lit(False))
+    return maybe & (t != "") & ~F.contains(t, F.lit("](")) & odd
 
 
 def utc_text(ts) -> Column:
@@ -237,8 +261,13 @@ USUAL = "«»“”‘’—–…·•°%€£§¶©®™¿¡"
 
 def foreign_symbols(text, reference) -> Column:
     """Symbols of a text that the reference has nowhere, each once, in order."""
-    chars = F.array_distinct(F.split(F.regexp_replace(col(text), rf"[\p{{L}}\p{{N}}\s!-/:-@\[-`{{-~{USUAL}]", ""), ""))
-    return F.filter(chars, lambda c: (c != "") & ~F.contains(col(reference), c))
+    return F.filter(unusual(text), lambda c: ~F.contains(col(reference), c))
+
+
+def unusual(text) -> Column:
+    """The symbols of a text that not any text may hold, each once, in order."""
+    rest = F.regexp_replace(col(text), rf"[\p{{L}}\p{{N}}\s!-/:-@\[-`{{-~{USUAL}]", "")
+    return F.filter(F.array_distinct(F.split(rest, "")), lambda c: c != "")
 
 
 def clean_output(text) -> Column:

@@ -13,48 +13,124 @@ from pyspark.sql import functions as F
 from quirework.functions import text as T
 
 FREQUENT, SYSTEMATIC, COUNTED, EXAMPLES = 3, 3, 10, 5
+# fixed values: letters that reading loses or adds, and pairs that it confuses
+THIN = "iljtrf"
+CONFUSABLE = ("ce", "eo", "nu", "il", "lt", "ft", "ao")
+
+#: A hyphen at a line's end, or a mark of partition wherever it stands.
+_BREAK = "(?:[-\u00AD\u0002\u2010\u2011\uFFFE]\\s*\\n\\s*|[\u00AD\u0002\uFFFE]\\s*)"
+_HALVES = rf"(?<![\p{{L}}\p{{N}}])([\p{{L}}\p{{N}}]*+){_BREAK}(?=([\p{{L}}\p{{N}}]*))"
+
+
+def reference_tokens(text="text") -> Column:
+    """The words of a reference text, each once, halves of broken words joined
+    as well."""
+    half = lambda i: F.regexp_extract_all(text, F.lit(_HALVES), F.lit(i))
+    joined = F.transform(F.arrays_zip(half(1).alias("l"), half(2).alias("r")), lambda x: F.lower(F.concat(x["l"], x["r"])))
+    joined = F.when(F.col(text).rlike(_BREAK), F.filter(joined, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(T.tok_alnum2(text), joined))
 
 
 def reference_words(references: DataFrame) -> DataFrame:
-    """(book, page, word) of reference pages, halves of words broken by a hyphen
-    at a line's end joined."""
-    joined = F.transform(
-        F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+[-­]\s*\n\s*[\p{L}\p{N}]+)"), 1),
-        lambda x: F.lower(F.regexp_replace(x, r"[-­\s]", "")),
+    """(book, page, word) of reference pages."""
+    return references.select("book", "page", F.explode(reference_tokens()).alias("word")).distinct()
+
+
+def near(references: DataFrame, values: Column) -> DataFrame:
+    """(book, page, near): an array's values on a page and its neighbours, for
+    pages that have a reference themselves."""
+    x = references.select("book", F.col("page").alias("_of"), values.alias("_v"))
+    x = x.select("book", "_of", "_v", F.explode(F.array(F.col("_of") - 1, F.col("_of"), F.col("_of") + 1)).alias("page"))
+    x = x.groupBy("book", "page").agg(F.flatten(F.collect_list("_v")).alias("near"), F.bool_or(F.col("_of") == F.col("page")).alias("_own"))
+    return x.where("_own").drop("_own")
+
+
+def tokens(text="text") -> Column:
+    """White-space tokens in lower case without marks at their ends."""
+    cut = F.transform(F.split(F.lower(text), r"\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(cut, lambda t: t != "")
+
+
+def missing_words(blocks: DataFrame, references: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(book, page, missing): of each page with a reference the words and tokens
+    that neither its reference nor the neighbours' have, alone or glued to a
+    frequent word.  Pages meet their references once, as arrays; only what is
+    missing is joined by word."""
+    asked = F.array_distinct(F.flatten(F.collect_list(F.array_union(T.tok_alnum2("text"), tokens("text")))))
+    own = blocks.groupBy("book", "page").agg(asked.alias("asked"))
+    x = own.join(near(references, reference_tokens()), ["book", "page"])
+    x = x.select("book", "page", F.array_except("asked", "near").alias("missing"))
+    lost = x.select("book", "page", F.explode("missing").alias("word"))
+    # tokens of references that are a lost word and a frequent one
+    wanted = lost.select("book", "word").distinct()
+    every = references.select("book", "page", F.explode(reference_tokens()).alias("token"))
+    cut = every.select("book", "token").distinct().where("length(token) > 1")
+    cut = cut.select("book", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("k"))
+    head, tail = F.substring("token", F.lit(1), F.col("k")), F.substring("token", F.col("k") + 1, F.length("token"))
+    two = F.array(F.struct(head.alias("word"), tail.alias("rest")), F.struct(tail.alias("word"), head.alias("rest")))
+    cut = cut.select("book", "token", F.explode(two).alias("x")).select("book", "token", "x.word", "x.rest")
+    cut = cut.join(wanted, ["book", "word"], "left_semi").join(
+        vocab.where(f"n >= {FREQUENT}").select("book", F.col("word").alias("rest")), ["book", "rest"], "left_semi"
+    )
+    there = every.join(cut.select("book", "token", "word").distinct(), ["book", "token"])
+    there = there.select("book", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("page"), "word").distinct()
+    still = lost.join(there, ["book", "page", "word"], "left_anti").groupBy("book", "page").agg(F.collect_set("word").alias("_m"))
+    return x.select("book", "page").join(still, ["book", "page"], "left").select(
+        "book", "page", F.coalesce("_m", F.array().cast("array<string>")).alias("missing")
     )
-    return references.select("book", "page", F.explode(F.concat(T.tok_alnum2("text"), joined)).alias("word")).distinct()
 
 
-def unsupported(blocks: DataFrame, references: DataFrame) -> DataFrame:
-    """(book, page, block, n): words of a block that neither its page's
-    reference nor the neighbours' has, per occurrence; pages without a reference
-    give nothing."""
-    words = blocks.select("book", "page", "block", F.explode(T.tok_alnum2("text")).alias("word"))
-    ref = reference_words(references)
-    near = ref.select("book", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("page"), "word").distinct()
-    own = references.select("book", "page").distinct()
-    missing = words.join(own, ["book", "page"], "left_semi").join(near, ["book", "page", "word"], "left_anti")
-    return missing.groupBy("book", "page", "block").agg(F.count(F.lit(1)).alias("n"))
+def unsupported(blocks: DataFrame, missing: DataFrame) -> DataFrame:
+    """(book, page, block, n, examples): words of a block that its reference
+    lacks, per occurrence; pages without a reference give nothing."""
+    x = blocks.join(missing, ["book", "page"])
+    x = x.withColumn("_w", F.filter(T.tok_alnum2("text"), lambda w: F.array_contains(F.col("missing"), w))).where(F.size("_w") > 0)
+    return x.select("book", "page", "block", F.size("_w").cast("long").alias("n"), F.slice("_w", 1, EXAMPLES).alias("examples"))
+
+
+def main_scripts(blocks: DataFrame) -> DataFrame:
+    """(book, main): the script with most letters; ties go to the first by name."""
+    names = sorted([*T.SCRIPTS, "other"])
+    # ASCII letters are counted once, the scripts in what is left
+    x = blocks.select(
+        "book", F.length(F.regexp_replace("text", "[^A-Za-z]+", "")).alias("_a"), F.regexp_replace("text", "[\\x00-\\x7F]+", "").alias("_rest")
+    )
+    count = {s: F.sum(F.when(F.col("_rest") != "", T.script_letters("_rest", s)).otherwise(0)) for s in names}
+    count["latin"] = count["latin"] + F.sum("_a")
+    n = x.groupBy("book").agg(*(count[s].alias(s) for s in names))
+    best = F.array_min(F.array(*(F.struct((-F.col(s)).alias("n"), F.lit(s).alias("s")) for s in names)))
+    return n.select("book", F.when(best["n"] < 0, best["s"]).alias("main"))
 
 
 def odd_tokens(blocks: DataFrame) -> DataFrame:
     """(book, page, block, pos, token, spread): odd tokens with the number of
     blocks that hold them."""
-    x = blocks.select("book", "page", "block", F.posexplode(F.split("text", r"\s+")).alias("pos", "token"))
-    x = x.where((F.col("token") != "") & T.is_odd("token"))
+    x = blocks.join(F.broadcast(main_scripts(blocks)), "book", "left")  # a row per book
+    x = x.select("book", "page", "block", "main", F.posexplode(F.split("text", r"\s+")).alias("pos", "token"))
+    x = x.where(T.is_odd("token", "main")).select("book", "page", "block", "pos", T.odd_form("token").alias("token"))
     spread = x.groupBy("book", "token").agg(F.countDistinct("page", "block").alias("spread"))
     return x.join(spread, ["book", "token"])
 
 
-def odd_risks(blocks: DataFrame) -> DataFrame:
-    """(book, page, block, n, risk): 2.0 a token, 0.25 if it is systematic; ten
-    are weighed."""
-    w = Window.partitionBy("book", "page", "block").orderBy("pos")
-    x = odd_tokens(blocks).withColumn("r", F.row_number().over(w))
-    weight = F.when(F.col("spread") >= SYSTEMATIC, F.lit(0.25)).otherwise(F.lit(2.0))
-    return x.groupBy("book", "page", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("r") <= COUNTED, weight).otherwise(F.lit(0.0))).alias("risk")
-    )
+def lone_symbols(blocks: DataFrame, references: DataFrame) -> DataFrame:
+    """(book, page, block, pos, token): symbols that the reference lacks."""
+    own = blocks.select("book", "page", "block", T.unusual("text").alias("_u")).where(F.size("_u") > 0)
+    x = own.join(near(references, T.unusual("text")), ["book", "page"])
+    return x.select("book", "page", "block", F.posexplode(F.array_except("_u", "near")).alias("pos", "token"))
+
+
+def odd_risks(blocks: DataFrame, references: DataFrame) -> DataFrame:
+    """(book, page, block, n, risk): odd tokens, then symbols: 2.0 each, 0.25 if
+    systematic; the first ten are weighed."""
+    odd = odd_tokens(blocks)
+    spread = odd.select("book", "token", "spread").distinct()
+    marks = lone_symbols(blocks, references).join(spread, ["book", "token"], "left")
+    x = odd.withColumn("of", F.lit(0)).unionByName(marks.withColumn("of", F.lit(1)))
+    weight = F.when(F.coalesce("spread", F.lit(0)) >= SYSTEMATIC, F.lit(0.25)).otherwise(F.lit(2.0))
+    every = F.sort_array(F.collect_list(F.struct("of", "pos", weight.alias("w"))))
+    x = x.groupBy("book", "page", "block").agg(F.count(F.lit(1)).alias("n"), every.alias("x"))
+    risk = F.aggregate(F.slice("x", 1, COUNTED), F.lit(0.0), lambda a, y: a + y["w"])
+    return x.select("book", "page", "block", "n", risk.alias("risk"))
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
@@ -63,41 +139,56 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
 
 
 def variants(words: DataFrame) -> DataFrame:
-    """Each word with one letter left out: (book, word, variant, at)."""
+    """Each word with one letter left out: (book, word, variant, at, letter)."""
     x = words.select("book", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
     cut = F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, F.length("word")))
-    return x.select("book", "word", cut.alias("variant"), "at")
+    return x.select("book", "word", cut.alias("variant"), "at", F.substring("word", F.col("at"), F.lit(1)).alias("letter"))
 
 
 def looks_like(vocab: DataFrame) -> DataFrame:
-    """(book, word, suggestion): words met once that miss, add or change one
-    letter of a frequent word of four letters or more.  Of several the first by
-    alphabet."""
+    """(book, word, suggestion, strict): words of four letters or more, met once,
+    that look like a frequent one: a letter inside is missing, or is too many, or
+    one is changed (inside, or for one that is often confused).  ``strict`` is
+    the suggestion if only thin letters and confusions count, for pages without
+    a reference.  Of several the first by place, then by alphabet."""
     rare = vocab.where("n = 1 and length(word) >= 4").select("book", "word")
-    frequent = vocab.where(f"n >= {FREQUENT} and length(word) >= 4").select("book", "word")
-    named = frequent.select("book", F.col("word").alias("suggestion"))
-    missing = rare.join(variants(frequent).select("book", F.col("word").alias("suggestion"), F.col("variant").alias("word")), ["book", "word"])
-    extra = variants(rare).select("book", "word", F.col("variant").alias("suggestion")).join(named, ["book", "suggestion"])
-    other = variants(frequent).select("book", F.col("word").alias("suggestion"), "variant", "at")
-    changed = variants(rare).join(other, ["book", "variant", "at"])
-    pairs = missing.select("book", "word", "suggestion")
-    for x in (extra, changed):
-        pairs = pairs.unionByName(x.select("book", "word", "suggestion"))
-    return pairs.where("word <> suggestion").groupBy("book", "word").agg(F.min("suggestion").alias("suggestion"))
+    known = vocab.where(f"n >= {FREQUENT}").select("book", F.col("word").alias("suggestion"))
+    frequent = variants(vocab.where(f"n >= {FREQUENT} and length(word) >= 4").select("book", "word")).withColumnRenamed("word", "suggestion")
+    thin = F.col("letter").isin(*THIN)
+    inside = (F.col("at") > 1) & (F.col("at") < F.length("variant") + 1)
+    less = frequent.where(inside).select("book", F.col("variant").alias("word"), "suggestion", F.lit(0).alias("o"), thin.alias("strict"))
+    less = rare.join(less, ["book", "word"])
+    cut = variants(rare)
+    more = cut.where(inside).select("book", "word", F.col("variant").alias("suggestion"), (F.col("at") * 2).alias("o"), thin.alias("strict"))
+    more = more.join(known, ["book", "suggestion"], "left_semi")
+    other = frequent.select("book", "variant", "at", "suggestion", F.col("letter").alias("_l"))
+    both = cut.join(other, ["book", "variant", "at"]).where("letter <> _l")
+    pair = F.concat(F.least("letter", "_l"), F.greatest("letter", "_l")).isin(*CONFUSABLE)
+    changed = both.where(pair | ((F.col("at") > 1) & (F.col("at") < F.length("word") - 1)))
+    changed = changed.select("book", "word", "suggestion", (F.col("at") * 2 + 1).alias("o"), pair.alias("strict"))
+    x = less.unionByName(more).unionByName(changed)
+    first = F.struct("o", "suggestion")
+    out = x.groupBy("book", "word").agg(F.min(first).alias("a"), F.min(F.when(F.col("strict"), first)).alias("b"))
+    return out.select("book", "word", F.col("a.suggestion").alias("suggestion"), F.col("b.suggestion").alias("strict"))
 
 
 def split_suspects(blocks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Neighbouring tokens that make a frequent word, one of them met once."""
-    w = Window.partitionBy("book", "page", "block").orderBy("pos")
-    x = blocks.select("book", "page", "block", F.posexplode(T.tok_alnum("text")).alias("pos", "word"))
-    x = x.withColumn("next", F.lead("word").over(w)).where("next is not null")
-    whole = vocab.where(f"n >= {FREQUENT} and length(word) >= 4").select("book", F.col("word").alias("_w"))
-    x = x.withColumn("_w", F.concat("word", "next")).join(whole, ["book", "_w"])
-    one = vocab.where("n = 1")
-    a = one.select("book", "word", F.lit(True).alias("_a"))
-    b = one.select("book", F.col("word").alias("next"), F.lit(True).alias("_b"))
-    x = x.join(a, ["book", "word"], "left").join(b, ["book", "next"], "left").where("_a or _b")
-    return x.select("book", "page", "block", "pos", "word", "next", F.col("_w").alias("suggestion"))
+    """Neighbouring tokens of letters that make a frequent word, one of them met
+    once at most."""
+    x = blocks.select("book", "page", "block", tokens("text").alias("_t"))
+    pairs = F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("word"), F.get(F.col("_t"), i + 1).alias("next")))
+    return split_pairs(x.select("book", "page", "block", F.explode(pairs).alias("x")).select("book", "page", "block", "x.*"), vocab)
+
+
+def split_pairs(x: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The rows whose ``word`` and ``next`` make a frequent word."""
+    x = x.where(F.col("word").rlike(r"^\p{L}+$") & F.col("next").rlike(r"^\p{L}+$"))
+    whole = vocab.where(f"n >= {FREQUENT}").select("book", F.col("word").alias("suggestion"))
+    x = x.withColumn("suggestion", F.concat("word", "next")).join(whole, ["book", "suggestion"], "left_semi")
+    often = vocab.where("n > 1")
+    a = often.select("book", "word", F.lit(True).alias("_a"))
+    b = often.select("book", F.col("word").alias("next"), F.lit(True).alias("_b"))
+    return x.join(a, ["book", "word"], "left").join(b, ["book", "next"], "left").where("_a is null or _b is null").drop("_a", "_b")
 
 
 def glued_suspects(vocab: DataFrame) -> DataFrame:
@@ -112,6 +203,27 @@ def glued_suspects(vocab: DataFrame) -> DataFrame:
     return x.groupBy("book", "word").agg(F.min("k").alias("k"))
 
 
+def suspects(blocks: DataFrame, missing: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(book, page, block, pos, kind, found): suspect tokens.  What the reference
+    has is passed over; else a token that looks like a frequent word, then one
+    that makes a frequent word with the next (which the reference lacks too),
+    then two words in one."""
+    lacks = lambda t: F.col("missing").isNull() | F.array_contains(F.col("missing"), t)
+    x = blocks.join(missing, ["book", "page"], "left").select("book", "page", "block", "missing", tokens("text").alias("_t"))
+    each = F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("word"), F.get(F.col("_t"), i + 1).alias("next")))
+    x = x.select("book", "page", "block", "missing", F.explode(F.filter(each, lambda y: lacks(y["word"]) & y["word"].rlike(r"^\p{L}+$"))).alias("x"))
+    x = x.select("book", "page", "block", "x.*", F.col("missing").isNull().alias("bare"), lacks(F.col("x.next")).alias("_n"))
+    keys = ["book", "page", "block", "pos"]
+    near_ = looks_like(vocab).withColumnsRenamed({"suggestion": "_loose", "strict": "_strict"})
+    like = x.join(near_, ["book", "word"]).withColumn("_s", F.when(F.col("bare"), F.col("_strict")).otherwise(F.col("_loose"))).where("_s is not null")
+    like = like.select(*keys, F.lit(1).alias("o"), F.concat("word", F.lit(" ("), "_s", F.lit("?)")).alias("found"))
+    cut = split_pairs(x.where("_n"), vocab).select(*keys, F.lit(2).alias("o"), F.concat("word", F.lit(" "), "next").alias("found"))
+    two = x.join(glued_suspects(vocab), ["book", "word"], "left_semi").select(*keys, F.lit(3).alias("o"), F.col("word").alias("found"))
+    best = like.unionByName(cut).unionByName(two).groupBy(*keys).agg(F.min(F.struct("o", "found")).alias("x"))
+    kind = F.when(F.col("x.o") == 1, "alike").when(F.col("x.o") == 2, "split").otherwise("glued")
+    return best.select(*keys, kind.alias("kind"), F.col("x.found").alias("found"))
+
+
 def page_items(states: DataFrame) -> DataFrame:
     """Page-level items: doubtful and not reread 3.0, reread 1.0."""
     risk = F.when(F.col("doubtful") & ~F.col("reread"), 3.0).when(F.col("reread"), 1.0)
@@ -121,14 +233,15 @@ def page_items(states: DataFrame) -> DataFrame:
 
 
 def review(blocks: DataFrame, references: DataFrame, states: DataFrame) -> DataFrame:
-    """Items with a risk above zero, worst first when sorted by ``ordered``."""
+    """Items with a risk above zero, worst first when sorted by ``ordered``.  Of
+    each kind ten findings are weighed."""
     keys = ["book", "page", "block"]
-    risks = unsupported(blocks, references).select(*keys, F.col("n").cast("double").alias("risk"), F.lit("unsupported").alias("reason"))
-    risks = risks.unionByName(odd_risks(blocks).select(*keys, "risk", F.lit("odd").alias("reason")))
     vocab = vocabulary(blocks)
-    suspect = looks_like(vocab).select("book", "word").unionByName(glued_suspects(vocab).select("book", "word")).distinct()
-    words = blocks.select(*keys, F.explode(T.tok_vocabulary("text")).alias("word"))
-    found = words.join(suspect, ["book", "word"], "left_semi").groupBy(*keys).agg((F.count(F.lit(1)) * 2.0).alias("risk"))
+    missing = missing_words(blocks, references, vocab)
+    most = lambda n: F.least(n, F.lit(COUNTED)).cast("double")
+    risks = unsupported(blocks, missing).select(*keys, most(F.col("n")).alias("risk"), F.lit("unsupported").alias("reason"))
+    risks = risks.unionByName(odd_risks(blocks, references).select(*keys, "risk", F.lit("odd").alias("reason")))
+    found = suspects(blocks, missing, vocab).groupBy(*keys).agg((most(F.count(F.lit(1))) * 2.0).alias("risk"))
     risks = risks.unionByName(found.select(*keys, "risk", F.lit("suspect").alias("reason")))
     total = risks.groupBy(*keys).agg(F.sum("risk").alias("risk"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
     items = total.where("risk > 0").join(blocks.select(*keys, T.block_key("text").alias("key")), keys)

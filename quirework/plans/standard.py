@@ -183,14 +183,17 @@ def reread_plan(spark, sf_dir):
 
 VOCAB = f"""with {LINES},
 v as (select book, word, count(*) as n from (select book, unnest({WORDS}) as word from l) where regexp_matches(word, '^\\p{{L}}+$') group by all),
-fr as (select book, word from v where n >= 3 and length(word) >= 4),
+kn as (select book, word from v where n >= 3),
+fr as (select book, word from kn where length(word) >= 4),
 ra as (select book, word from v where n = 1 and length(word) >= 4),
-fv as (select book, word, i, left(word, i - 1) || substr(word, i + 1) as var from (select book, word, unnest(range(1, length(word) + 1)) as i from fr)),
-rv as (select book, word, i, left(word, i - 1) || substr(word, i + 1) as var from (select book, word, unnest(range(1, length(word) + 1)) as i from ra)),
-pr as (select ra.book, ra.word, fv.word as s from ra join fv on ra.book = fv.book and ra.word = fv.var
-       union select rv.book, rv.word, fr.word from rv join fr on rv.book = fr.book and rv.var = fr.word
-       union select rv.book, rv.word, fv.word from rv join fv on rv.book = fv.book and rv.var = fv.var and rv.i = fv.i),
-ll as (select book, word, min(s) as suggestion from pr where word <> s group by all)"""
+fv as (select book, word, i, left(word, i - 1) || substr(word, i + 1) as var, substr(word, i, 1) as c from (select book, word, unnest(range(1, length(word) + 1)) as i from fr)),
+rv as (select book, word, i, left(word, i - 1) || substr(word, i + 1) as var, substr(word, i, 1) as c from (select book, word, unnest(range(1, length(word) + 1)) as i from ra)),
+cf as (select rv.book, rv.word, fv.word as s, rv.i, least(rv.c, fv.c) || greatest(rv.c, fv.c) in ('ce', 'eo', 'nu', 'il', 'lt', 'ft', 'ao') as pair
+   from rv join fv on rv.book = fv.book and rv.var = fv.var and rv.i = fv.i and rv.c <> fv.c),
+pr as (select ra.book, ra.word, fv.word as s, 0 as o, contains('iljtrf', fv.c) as thin from ra join fv on ra.book = fv.book and ra.word = fv.var where fv.i > 1 and fv.i < length(fv.word)
+   union all select rv.book, rv.word, kn.word, rv.i * 2, contains('iljtrf', rv.c) from rv join kn on rv.book = kn.book and rv.var = kn.word where rv.i > 1 and rv.i < length(rv.word)
+   union all select book, word, s, i * 2 + 1, pair from cf where pair or (i > 1 and i < length(word) - 1)),
+ll as (select book, word, arg_min(s, (o, s)) as suggestion, arg_min(s, (o, s)) filter (where thin) as strict from pr group by all)"""
 
 
 @query(VOCAB + " select * from ll")
@@ -209,50 +212,110 @@ def glued_words(spark, sf_dir):
     return review.glued_suspects(review.vocabulary(content(spark, sf_dir)))
 
 
+TOKENS = "list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda x: x <> '')"
+PAIRED = f"""
+tp as (select book, page, pos, unnest(ts) as word, generate_subscripts(ts, 1) as i, ts from (select book, page, pos, {TOKENS} as ts from l)),
+tx as (select book, page, pos, i, word, ts[i + 1] as nxt from tp),
+lo as (select book, word from v where n > 1)"""
+SPLIT = """regexp_matches(word, '^\\p{L}+$') and regexp_matches(nxt, '^\\p{L}+$') and exists (from kn where kn.book = tx.book and kn.word = tx.word || nxt)
+  and (not exists (from lo where lo.book = tx.book and lo.word = tx.word) or not exists (from lo where lo.book = tx.book and lo.word = nxt))"""
+
+
 @query(
-    f"{VOCAB}, w as (select book, page, pos, unnest(ws) as word, generate_subscripts(ws, 1) as i, ws from (select book, page, pos, {WORDS} as ws from l)), "
-    "x as (select book, page, pos, i, word, ws[i + 1] as nxt from w where i < len(ws)) "
-    "select x.book, x.page, x.pos::int as block, (i - 1)::int as pos, x.word, nxt as next, fr.word as suggestion from x "
-    "join fr on fr.book = x.book and fr.word = x.word || nxt where exists (from v where v.book = x.book and n = 1 and (v.word = x.word or v.word = nxt))"
+    f"{VOCAB}, {PAIRED} select book, page, pos::int as block, (i - 1)::int as pos, word, nxt as next, word || nxt as suggestion from tx where {SPLIT}"
 )
 def split_words(spark, sf_dir):
     c = content(spark, sf_dir)
     return review.split_suspects(c, review.vocabulary(c))
 
 
-ODD = f"""
+ODD = """
+sc as (select book, unnest(['arabic', 'cjk', 'cyrillic', 'greek', 'hebrew', 'latin', 'other']) as s, unnest([
+   sum(length(regexp_replace(text, '[^\\x{600}-\\x{6FF}]', '', 'g'))), sum(length(regexp_replace(text, '[^\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]', '', 'g'))),
+   sum(length(regexp_replace(text, '[^\\x{400}-\\x{52F}]', '', 'g'))), sum(length(regexp_replace(text, '[^\\x{370}-\\x{3FF}\\x{1F00}-\\x{1FFF}]', '', 'g'))),
+   sum(length(regexp_replace(text, '[^\\x{590}-\\x{5FF}]', '', 'g'))), sum(length(regexp_replace(text, '[^A-Za-zªµºÀ-ÖØ-öø-\\x{24F}\\x{1E00}-\\x{1EFF}]', '', 'g'))),
+   sum(length(regexp_replace(text, '[^\\p{L}]|[\\x{0}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{370}-\\x{52F}\\x{1F00}-\\x{1FFF}\\x{590}-\\x{6FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]', '', 'g')))]) as n from l group by book),
+ms as (select book, case when max(n) > 0 then arg_min(s, (-n, s)) end as main from sc group by book),
 tk as (select book, page, pos, unnest(ts) as token, generate_subscripts(ts, 1) as i from (select book, page, pos, regexp_split_to_array(text, '\\s+') as ts from l)),
-tt as (select *, regexp_replace(token, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') as t from tk where token <> ''),
-od as (select * from tt where contains(token, '�') or (regexp_matches(t, '\\p{{L}}[0-9]|[0-9]\\p{{L}}')
-   and not regexp_matches(lower(t), '^[0-9]+(st|nd|rd|th|er|re|e|o|a|º|ª)$') and not regexp_matches(t, '^\\p{{L}}[0-9]+$|^[0-9]+\\p{{L}}$'))),
-sp as (select book, token, count(distinct (page, pos)) as spread from od group by all),
-orr as (select book, page, pos, count(*) as n, sum(case when r > 10 then 0.0 when spread >= 3 then 0.25 else 2.0 end)::double as risk
-   from (select *, row_number() over (partition by book, page, pos order by i) as r from od join sp using (book, token)) group by all)"""
+tt as (select book, page, pos, i, regexp_replace(token, '^[^\\p{L}\\p{N}\\x{FFFD}]+|[^\\p{L}\\p{N}\\x{FFFD}]+$', '', 'g') as t from tk),
+tr as (select tt.*, main, regexp_replace(regexp_replace(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g'), '\\p{N}+', '0', 'g'), '\\p{L}+', 'a', 'g') as r,
+   length(regexp_replace(t, '[^\\p{L}]', '', 'g')) as letters, lower(regexp_replace(t, '^\\p{N}+', '')) as rest from tt left join ms using (book) where t <> '' and not contains(t, '](')),
+od as (select book, page, pos, i, t as token from tr where contains(t, chr(65533)) or (main = 'latin' and regexp_matches(t, '[\\x{370}-\\x{52F}\\x{590}-\\x{6FF}\\x{1F00}-\\x{1FFF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]'))
+   or (length(r) >= 2 and not (r = '0a' and not starts_with(t, '0') and rest in ('st', 'nd', 'rd', 'th', 'd', 'o', 'a', 'er', 'e', 're', 'eme', 'ème', 'º', 'ª', 'os', 'as', 'do', 'to'))
+   and not (r = 'a0' and letters = 1))),
+sp as (select book, token, count(distinct (page, pos)) as spread from od group by all)"""
+RISKS = """
+us as (select book, page, pos, text, list_filter(list_distinct(string_split(text, '')), lambda x: x <> '' and not regexp_matches(x, '[\\p{L}\\p{N}\\s!-/:-@\\[-`{-~«»“”‘’—–…·•°%€£§¶©®™¿¡]')) as u from l),
+sy as (select us.book, us.page, pos, unnest(u) as token from us join q on q.book = us.book and q.page = us.page),
+nb as (select sy.book, sy.page, pos, token from sy where not exists (from q where q.book = sy.book and q.page between sy.page - 1 and sy.page + 1 and contains(q.text, token))),
+om as (select book, page, pos, 0 as o, i, token from od union all select nb.book, nb.page, nb.pos, 1, strpos(l.text, token), token from nb join l using (book, page, pos)),
+orr as (select book, page, pos, count(*) as n, sum(case when r > 10 then 0.0 when coalesce(spread, 0) >= 3 then 0.25 else 2.0 end)::double as risk
+   from (select *, row_number() over (partition by book, page, pos order by o, i) as r from om left join sp using (book, token)) group by all)"""
+
+
+@query(f"with {LINES}, {ODD} select book, page, pos::int as block, (i - 1)::int as pos, token, spread from od join sp using (book, token)")
+def odd_tokens(spark, sf_dir):
+    return review.odd_tokens(content(spark, sf_dir))
 
 
-@query(f"with {LINES}, {ODD} select book, page, pos::int as block, n, risk from orr")
-def odd_tokens(spark, sf_dir):
-    return review.odd_risks(content(spark, sf_dir))
+BROKEN = "string_split(regexp_replace(text, '[-\\x{AD}\\x{2}\\x{2010}\\x{2011}\\x{FFFE}]\\s*\\n\\s*|[\\x{AD}\\x{2}\\x{FFFE}]\\s*', chr(1), 'g'), chr(1))"
+SUPPORTED = f"""
+rt as (select book, page, unnest(list_filter({WORDS}, lambda x: length(x) >= 2)) as word from q
+   union all select book, page, unnest(list_transform(range(1, len(p)), lambda i: lower(regexp_extract(p[i], '([\\p{{L}}\\p{{N}}]*)$', 1) || regexp_extract(p[i + 1], '^([\\p{{L}}\\p{{N}}]*)', 1))))
+   from (select book, page, {BROKEN} as p from q)),
+own as (select distinct book, page from q),
+nr as (select distinct book, page + unnest([-1, 0, 1]) as page, word from rt),
+ds as (select book, word, unnest(range(1, length(word))) as k from (select distinct book, word from nr)),
+gp as (select distinct ds.book, ds.word as token, left(ds.word, k) as word from ds join kn on kn.book = ds.book and kn.word = substr(ds.word, k + 1)
+   union select distinct ds.book, ds.word, substr(ds.word, k + 1) from ds join kn on kn.book = ds.book and kn.word = left(ds.word, k)),
+su as (select * from nr union select nr.book, nr.page, gp.word from nr join gp on gp.book = nr.book and gp.token = nr.word)"""
+UNSUPPORTED = f"""{SUPPORTED},
+un as (select w.book, w.page, w.pos, count(*) as n from (select book, page, pos, unnest(list_filter({WORDS}, lambda x: length(x) >= 2)) as word from l) w
+   join own on own.book = w.book and own.page = w.page left join su on su.book = w.book and su.page = w.page and su.word = w.word where su.word is null group by all)"""
 
 
-UNSUPPORTED = f"""
-rw as (select distinct book, page, unnest(list_filter({WORDS}, lambda x: length(x) >= 2)) as word from q),
-nr as (select distinct book, page + unnest([-1, 0, 1]) as page, word from rw),
-un as (select l.book, l.page, l.pos, count(*) as n from (select book, page, pos, unnest(list_filter({WORDS}, lambda x: length(x) >= 2)) as word from l) l
-   left join nr on nr.book = l.book and nr.page = l.page and nr.word = l.word where nr.word is null group by all)"""
+def halved(p: DataFrame) -> DataFrame:
+    """The other reading; none of every sixth page, words broken in others."""
+    x = altered(p).where("page % 6 <> 5")
+    return x.withColumn("text", F.when(F.col("page") % 6 == 1, F.replace("text", F.lit("ing"), F.lit("-\n ing"))).otherwise(F.col("text")))
 
 
-@query(f"with {LINES}, {ALTERED}, {UNSUPPORTED} select book, page, pos::int as block, n from un")
+HALVED = f"""{ALTERED.replace('q as (', 'qa as (')},
+q as (select book, page, case when page % 6 = 1 then replace(text, 'ing', '-' || chr(10) || ' ing') else text end as text from qa where page % 6 <> 5)"""
+
+
+@query(f"{VOCAB}, {HALVED}, {UNSUPPORTED} select book, page, pos::int as block, n from un")
 def unsupported_words(spark, sf_dir):
-    return review.unsupported(content(spark, sf_dir), altered(pages(spark, sf_dir)))
+    c = content(spark, sf_dir)
+    missing = review.missing_words(c, halved(pages(spark, sf_dir)), review.vocabulary(c))
+    return review.unsupported(c, missing).select("book", "page", "block", "n")
+
+
+SUSPECTS = f"""{PAIRED},
+ty as (select tx.*, own.page is null as bare, a.word is not null as known, b.word is not null as knext from tx left join own on own.book = tx.book and own.page = tx.page
+   left join su a on a.book = own.book and a.page = own.page and a.word = tx.word left join su b on b.book = own.book and b.page = own.page and b.word = tx.nxt),
+tz as (select * from ty where not known and regexp_matches(word, '^\\p{{L}}+$')),
+sl as (select tx.book, tx.page, pos, i, 1 as o, tx.word || ' (' || case when bare then strict else suggestion end || '?)' as found from tz tx join ll on ll.book = tx.book and ll.word = tx.word
+   union all select book, page, pos, i, 2, word || ' ' || nxt from tz tx where not knext and {SPLIT}
+   union all select tx.book, tx.page, pos, i, 3, tx.word from tz tx join (select distinct book, word from gl) g on g.book = tx.book and g.word = tx.word),
+ss as (select book, page, pos, i, min(o) as o, arg_min(found, o) as found from sl where found is not null group by all)"""
+
+
+@query(
+    f"{VOCAB}, {GLUED}, {HALVED}, {SUPPORTED}, {SUSPECTS} select book, page, pos::int as block, (i - 1)::int as pos, "
+    "case o when 1 then 'alike' when 2 then 'split' else 'glued' end as kind, found from ss"
+)
+def suspect_words(spark, sf_dir):
+    """Suspect tokens by precedence, on pages with and without a reference."""
+    c = content(spark, sf_dir)
+    vocab = review.vocabulary(c)
+    return review.suspects(c, review.missing_words(c, halved(pages(spark, sf_dir)), vocab), vocab)
 
 
-STATES = "st as (select book, page, case when page % 50 = 0 then 1.0 else 3.0 end as risk from q where page % 50 = 0 or page % 20 = 3)"
-REVIEW = f"""{VOCAB}, {GLUED}, {ALTERED}, {ODD}, {UNSUPPORTED}, {STATES},
-su as (select book, word from ll union select book, word from gl),
-sw as (select l.book, l.page, l.pos, count(*) * 2.0 as risk from (select book, page, pos, unnest({WORDS}) as word from l) l join su on su.book = l.book and su.word = l.word group by all),
-rk as (select book, page, pos, n::double as risk, 'unsupported' as reason from un union all select book, page, pos, risk, 'odd' from orr
-   union all select book, page, pos, risk, 'suspect' from sw),
+STATES = "st as (select book, page, case when page % 50 = 0 then 1.0 else 3.0 end as risk from p where page % 50 = 0 or page % 20 = 3)"
+REVIEW = f"""{VOCAB}, {GLUED}, {HALVED}, {ODD}, {RISKS}, {UNSUPPORTED}, {SUSPECTS}, {STATES},
+rk as (select book, page, pos, least(n, 10)::double as risk, 'unsupported' as reason from un union all select book, page, pos, risk, 'odd' from orr
+   union all select book, page, pos, least(count(*), 10) * 2.0, 'suspect' from ss group by book, page, pos),
 it as (select rk.book, rk.page, rk.pos::int as block, any_value(substr(sha256({TRIM.format('l.text')}), 1, 16)) as key, sum(risk)::double as risk,
    array_to_string(list_sort(list(distinct reason)), ',') as reasons from rk join l on l.book = rk.book and l.page = rk.page and l.pos = rk.pos
    group by rk.book, rk.page, rk.pos having sum(risk) > 0),
@@ -262,7 +325,7 @@ ri as (select * from it union all select book, page, null, 'page:' || page, risk
 def review_items_of(spark, sf_dir) -> DataFrame:
     p = pages(spark, sf_dir)
     states = p.select("book", "page", (F.col("page") % 20 == 3).alias("doubtful"), (F.col("page") % 50 == 0).alias("reread"))
-    return review.review(content(spark, sf_dir), altered(p), states)
+    return review.review(content(spark, sf_dir), halved(p), states)
 
 
 @query(REVIEW + " select * from ri")

@@ -13,7 +13,7 @@ from quirework.sources import readers, writers
 from quirework.streaming import progress
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation documents pages benchmark labels conversations events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -146,10 +146,42 @@ def test_review(spark):
     assert review.review_counts(review.review_view(items, d)).first().pending == len(first) - 1
     words = spark.createDataFrame([("b", 1, 0, "morning " * 3 + "mourning mornin rnorning"), ("b", 1, 1, "through " * 3 + "thr ough")], "book string, page long, block int, text string")
     v = review.vocabulary(words)
-    assert {r.word: r.suggestion for r in review.looks_like(v).collect()} == {"mourning": "morning", "mornin": "morning"}
+    # a letter that is missing at the end is another form of the word, no error
+    assert {r.word: (r.suggestion, r.strict) for r in review.looks_like(v).collect()} == {"mourning": ("morning", None)}
     assert review.split_suspects(words, v).first().suggestion == "through"
     broken = spark.createDataFrame([("b", 1, "half-\nway there")], "book string, page long, text string")
     assert "halfway" in {r.word for r in review.reference_words(broken).collect()}
+    marked = spark.createDataFrame([("b", 1, "a\u00adb c-\nd-\ne x - y")], "book string, page long, text string")
+    assert {r.word for r in review.reference_words(marked).collect()} == {"ab", "cd", "de"}
+
+
+def test_suspects_by_precedence(spark):
+    often = "through morning river bank the of them " * 5
+    text = "thr ough moming rnorning riverbank ofthem throuh"
+    df = spark.createDataFrame([("b", 1, 0, often), ("b", 1, 1, text), ("b", 2, 0, "throug moning")], "book string, page long, block int, text string")
+    v = review.vocabulary(df)
+    found = lambda refs: [(r.page, r.block, r.kind, r.found) for r in review.suspects(df, review.missing_words(df, refs, v), v).orderBy("page", "block", "pos").collect()]
+    refs = spark.createDataFrame([("b", 1, often + " allmoming riverbank")], "book string, page long, text string")
+    # "riverbank" stands in the reference, "moming" is no glued word there as "all" is not frequent
+    assert found(refs) == [(1, 1, "split", "thr ough"), (1, 1, "alike", "throuh (through?)"), (2, 0, "alike", "moning (morning?)")]
+    glued = spark.createDataFrame([("b", 1, often + " throuhof")], "book string, page long, text string")
+    assert (1, 1, "alike", "throuh (through?)") not in found(glued) and (1, 1, "glued", "riverbank") in found(glued)
+    none = refs.limit(0)
+    assert (1, 1, "glued", "riverbank") in found(none)
+    # without a reference only thin letters and confusions count: "h" is not thin, "r" is
+    assert (1, 1, "alike", "throuh (through?)") not in found(none) and (2, 0, "alike", "moning (morning?)") in found(none)
+
+
+def test_odd_tokens_and_symbols(spark):
+    odd = lambda t, main=None: value(spark, T.is_odd("t", F.lit(main) if main else None), t=t)
+    assert [odd(x) for x in ("wa5", "0f", "l1ne", "(19th)", "2º", "A25", "5a", "5x", "01st", "AB2", "a](u5)")] == [
+        True, True, True, False, False, False, False, True, True, True, False,
+    ]
+    assert odd("слово", "latin") and not odd("слово", "cyrillic") and odd("word", "cyrillic") and not odd("word")
+    df = spark.createDataFrame([("b", 1, 0, "a † b ‡ †"), ("b", 2, 0, "x ‡")], "book string, page long, block int, text string")
+    refs = spark.createDataFrame([("b", 1, "a b"), ("b", 0, "†")], "book string, page long, text string")
+    assert [(r.page, r.token) for r in review.lone_symbols(df, refs).collect()] == [(1, "‡")]
+    assert [(r.n, r.risk) for r in review.odd_risks(df, refs).collect()] == [(1, 2.0)]
 
 
 def test_translation(spark):
