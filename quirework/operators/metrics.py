@@ -95,13 +95,25 @@ def recall_in_top(items: DataFrame, shares: tuple = (0.1, 0.2, 0.5)) -> DataFram
     return out.withColumn("recall", ratio(F.col("found"), F.col("planted")))
 
 
+#: Words that a join of titles and headings goes by.
+SHINGLE = 3
+
+
 def outline_recall(titles: DataFrame, headings: DataFrame) -> DataFrame:
     """Share of the titles that some heading of the book contains or is
     contained in; those under three characters are never found but count."""
-    t = titles.select("book", "ord", F.array_join(T.tok_alnum("title"), " ").alias("t"))
-    h = headings.select("book", F.array_join(T.tok_alnum("text"), " ").alias("h")).where("h <> ''").distinct()
+    t = titles.select("book", "ord", T.tok_alnum("title").alias("tw")).withColumn("t", F.array_join("tw", " "))
+    h = headings.select("book", T.tok_alnum("text").alias("hw")).where(F.size("hw") > 0).distinct().withColumn("h", F.array_join("hw", " "))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    hit = t.where("length(t) >= 3").join(h, "book").where(F.contains(pad("h"), pad("t")) | F.contains(pad("t"), pad("h")))
+    # whoever is contained begins with up to three words that the other has in a row
+    key = lambda a: F.array_join(F.slice(a, 1, SHINGLE), " ")
+    shingles = lambda a: F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.size(a)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(SHINGLE)), lambda k: F.array_join(F.slice(a, i, k), " "))
+    ))))
+    own = t.where("length(t) >= 3")
+    inside = own.withColumn("k", key("tw")).join(h.select("book", "h", shingles("hw").alias("k")), ["book", "k"]).where(F.contains(pad("h"), pad("t")))
+    around = own.select("book", "ord", "t", shingles("tw").alias("k")).join(h.withColumn("k", key("hw")), ["book", "k"]).where(F.contains(pad("t"), pad("h")))
+    hit = inside.select("book", "ord").unionByName(around.select("book", "ord"))
     found = hit.select("book", "ord").distinct().groupBy("book").agg(F.count(F.lit(1)).alias("found"))
     n = t.groupBy("book").agg(F.count(F.lit(1)).alias("titles")).join(found, "book", "left")
     return n.select("book", "titles", F.coalesce("found", F.lit(0).cast("long")).alias("found")).withColumn("recall", ratio(F.col("found"), F.col("titles")))

@@ -25,7 +25,7 @@ _OPEN = f"[{re.escape(OPENERS)}]*"
 _JAVA_OPEN = r"[“\"‘'«¿¡(\[_]*"
 #: Left word, spaces, dash, gap; the right word is only looked at, as it may be
 #: the left one of the next pair.
-_PAIR = rf"([\p{{L}}\p{{N}}]+)( *)([{DASHES}])(?=([ \n]*){_JAVA_OPEN}([\p{{L}}\p{{N}}]+))"
+_PAIR = rf"(?<![\p{{L}}\p{{N}}])([\p{{L}}\p{{N}}]++)( *+)([{DASHES}])(?=([ \n]*){_JAVA_OPEN}([\p{{L}}\p{{N}}]+))"
 
 
 def dash_pairs(text: Column) -> Column:
@@ -46,36 +46,53 @@ def dash_pairs(text: Column) -> Column:
     )
 
 
+_WORD = re.compile(r"[^\W_]+")
+_DASHED = re.compile(rf"[ \n]*[{DASHES}][ \n]*{_OPEN}")
+_GAP = re.compile(rf"([ \n]+){_OPEN}")
+
+
 def restored(text: str | None, pairs) -> tuple[str | None, int]:
     """The text with lost dashes put back, and how many.  A pair is repaired only
-    if it has as many places without a dash as dashes are missing."""
+    if it has as many places without a dash as dashes are missing.  The text is
+    read once, whatever the number of pairs."""
     if text is None or pairs is None or not len(pairs):
         return text, 0
     wanted = Counter((p["left"], p["right"], p["dash"], p["before"], p["after"]) for p in pairs)
+    # where each pair of words stands: (end of the left word, blanks between; None if there is a dash, "" if glued)
+    places: dict[tuple[str, str], list[tuple[int, str | None]]] = {(w[0], w[1]): [] for w in wanted}
+    glued: dict[str, list[tuple[str, str]]] = {}
+    for left, right in places:
+        glued.setdefault(left + right, []).append((left, right))
+    last, end = "", 0
+    for m in _WORD.finditer(text):
+        word, start = m[0], m.start()
+        for pair in glued.get(word, ()):
+            places[pair].append((start + len(pair[0]), ""))
+        if (last, word) in places:
+            if _DASHED.fullmatch(text, end, start):
+                places[last, word].append((end, None))
+            elif gap := _GAP.fullmatch(text, end, start):
+                places[last, word].append((end, gap[1]))
+        last, end = word, m.end()
     edits: dict[int, tuple[int, str]] = {}
     for left, right, dash, before, after in sorted(wanted, key=str):
-        word = rf"{re.escape(right)}(?![^\W_])"
-        places = re.compile(
-            rf"(?<![^\W_]){re.escape(left)}(?=(?P<glued>{word})"
-            rf"|(?P<dashed>[ \n]*[{DASHES}][ \n]*{_OPEN}{word})"
-            rf"|(?P<gap>[ \n]+){_OPEN}{word})"
-        )
-        found = list(places.finditer(text))
-        bare = [m for m in found if m["dashed"] is None]
+        found = places[left, right]
+        bare = [(at, gap) for at, gap in found if gap is not None]
         if not bare or len(bare) != wanted[left, right, dash, before, after] - (len(found) - len(bare)):
             continue
         lead = " " * before + dash
-        for m in bare:
-            gap = m["gap"] or ""
-            if m["glued"] is not None:
+        for at, gap in bare:
+            if gap == "":
                 new = (0, lead + " " * bool(after))
             else:  # a closed dash takes the space's place, but no line break's
                 new = (0 if before or after or "\n" in gap else len(gap), lead)
-            edits.setdefault(m.end(), new)
-    for at in sorted(edits, reverse=True):
-        size, new = edits[at]
-        text = text[:at] + new + text[at + size :]
-    return text, len(edits)
+            edits.setdefault(at, new)
+    out, at = [], 0
+    for place in sorted(edits):
+        size, new = edits[place]
+        out += [text[at:place], new]
+        at = place + size
+    return "".join([*out, text[at:]]), len(edits)
 
 
 @F.pandas_udf(StructType().add("text", StringType()).add("restored", IntegerType()))

@@ -69,9 +69,8 @@ def missing_words(blocks: DataFrame, references: DataFrame, vocab: DataFrame) ->
     head, tail = F.substring("token", F.lit(1), F.col("k")), F.substring("token", F.col("k") + 1, F.length("token"))
     two = F.array(F.struct(head.alias("word"), tail.alias("rest")), F.struct(tail.alias("word"), head.alias("rest")))
     cut = cut.select("book", "token", F.explode(two).alias("x")).select("book", "token", "x.word", "x.rest")
-    cut = cut.join(wanted, ["book", "word"], "left_semi").join(
-        vocab.where(f"n >= {FREQUENT}").select("book", F.col("word").alias("rest")), ["book", "rest"], "left_semi"
-    )
+    often = vocab.where(f"n >= {FREQUENT}").select("book", F.col("word").alias("rest"))
+    cut = cut.join(often, ["book", "rest"], "left_semi").join(wanted, ["book", "word"], "left_semi")
     there = every.join(cut.select("book", "token", "word").distinct(), ["book", "token"])
     there = there.select("book", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("page"), "word").distinct()
     still = lost.join(there, ["book", "page", "word"], "left_anti").groupBy("book", "page").agg(F.collect_set("word").alias("_m"))
