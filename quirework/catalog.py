@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.plans import marked, shelf  # noqa: F401  registers its queries
+from quirework.plans import composed, marked, shelf  # noqa: F401  registers its queries
 from quirework.plans.standard import ORACLES, QUERIES
 
 FLAGSHIP = "review_items"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -74,6 +75,35 @@ def rows_of(html: pd.Series) -> pd.Series:
     return html.map(table_rows)
 
 
+def pipe_text(rows: list[list[str]]) -> str:
+    """``pipe_table`` of one table."""
+    wide = max(map(len, rows))
+    full = [[c.replace("|", "\\|") for c in r] + [""] * (wide - len(r)) for r in rows]
+    lines = ["| " + " | ".join(r) + " |" for r in full]
+    return "\n".join([lines[0], "|" + " --- |" * wide, *lines[1:]])
+
+
+_TABLE = re.compile(r"<table.*?</table>", re.S)
+
+
+def tables_to_markdown(text: str | None) -> str | None:
+    """The text with each HTML table as a pipe table in a block of its own; one
+    without cells or without an end stays."""
+    if text is None:
+        return None
+
+    def written(m):
+        rows = table_rows(m[0])
+        return f"\n\n{pipe_text(rows)}\n\n" if rows else m[0]
+
+    return _TABLE.sub(written, text)
+
+
+@F.pandas_udf(StringType())
+def with_pipe_tables(text: pd.Series) -> pd.Series:
+    return text.map(tables_to_markdown)
+
+
 def pipe_table(rows: Column) -> Column:
     """Rows of cells as a pipe table, all padded to the widest."""
     wide = F.array_max(F.transform(rows, F.size))

@@ -343,34 +343,20 @@ def rejected_images(spark, sf_dir):
 
 
 @query(
-    f"with {LINES}, m as (select book, page, pos, case when pos % 5 = 2 then ' ❦ ' when pos % 5 = 4 then '§§' when pos % 5 = 3 then '**' else text end as text from l), "
-    "r as (select lang as book, doc_id as page, case when doc_id % 2 = 0 then text || '§' else text end as ref from documents where doc_id % 7 <> 0) "
-    f"select m.book, m.page, m.pos::int as pos, {TRIM.format('m.text')} as mark from m left join r on r.book = m.book and r.page = m.page where m.pos % 5 in (2, 4) "
-    f"and not coalesce(contains(ref, left({TRIM.format('m.text')}, 1)), false) "
-    f"union all select book, page, pos::int, {TRIM.format('text')} from (select m.*, ref from m left join r using (book, page)) where pos % 5 in (0, 1) and regexp_matches({TRIM.format('text')}, '^\\S{{1,3}}$') "
-    f"and not regexp_matches({TRIM.format('text')}, '[0-9A-Za-z#*_`|>\\[\\]$-]') and len(list_filter(string_split({TRIM.format('text')}, ''), lambda c: contains(ref, c))) = 0"
+    f"with {LINES}, m as (select book, page, pos, case pos % 6 when 2 then ' ❦ ' when 4 then '§§' when 3 then '**' when 5 then '· ·' else text end as text from l), "
+    "r as (select lang as book, doc_id as page, case when doc_id % 2 = 0 then text || '§' else text end as ref from documents where doc_id % 7 <> 0), "
+    "s as (select m.*, ref, regexp_replace(m.text, '\\s+', '', 'g') as y from m left join r on r.book = m.book and r.page = m.page "
+    "where m.page is not null and m.book in (select book from r where book is not null)) "
+    f"select book, page, pos::int as pos, {TRIM.format('text')} as mark from s where regexp_matches(y, '^[^0-9A-Za-z!\\[\\]()|#*_]{{1,3}}$') "
+    "and not coalesce(contains(ref, y[1]) or contains(ref, y[2]) and length(y) > 1 or contains(ref, y[3]) and length(y) > 2, false)"
 )
 def foreign_ornaments(spark, sf_dir):
-    k = F.col("pos") % 5
-    x = lines(spark, sf_dir).withColumn("text", F.when(k == 2, " ❦ ").when(k == 4, "§§").when(k == 3, "**").otherwise(F.col("text")))
+    k = F.col("pos") % 6
+    x = lines(spark, sf_dir).withColumn("text", F.when(k == 2, " ❦ ").when(k == 4, "§§").when(k == 3, "**").when(k == 5, "· ·").otherwise(F.col("text")))
     ref = pages(spark, sf_dir).where("page % 7 <> 0").withColumn("text", F.when(F.col("page") % 2 == 0, F.concat("text", F.lit("§"))).otherwise(F.col("text")))
     return cleanup.ornaments(x, ref).select("book", "page", "pos", T.trim_space("text").alias("mark"))
 
 
-@query(
-    f"with {STYLED}, b as (select *, line_no % 4 <> 0 as fat, case when line_no % 7 = 0 then size * 2 else size * 1.5 end as g from sl), "
-    "n as (select *, case when coalesce(line_no - lag(line_no) over w = 1 and lag(size) over w = size and lag(fat) over w = fat and g <= size * 1.6::double, false) then 0 else 1 end as new from b "
-    "window w as (partition by book, page order by line_no)), "
-    "r as (select *, sum(new) over (partition by book, page order by line_no) as run from n) "
-    "select book, page, min(line_no)::int as line_no, 2 as level, string_agg(text, ' ' order by line_no) as text from r group by book, page, run"
-)
-def merged_headings(spark, sf_dir):
-    """Consecutive lines of one style on a page, near each other, as one."""
-    gap = F.when(F.col("line_no") % 7 == 0, F.col("size") * 2).otherwise(F.col("size") * 1.5)
-    x = styled(spark, sf_dir).withColumn("bold", F.col("line_no") % 4 != 0).withColumn("gap_before", gap).withColumn("level", F.lit(2))
-    return cleanup.merged_headings(x)
-
-
 MARGINS = f"""{LINES}, {EDGES}, mk as (select book, page, {KEY_EVAL} as key from e), mp as (select book, count(distinct page) as pages from l group by book),
 mg as (select book, key from mk join mp using (book) group by book, key, pages having count(distinct page) >= greatest(3, ceil(pages * 0.15::double)))"""
 

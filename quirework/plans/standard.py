@@ -78,7 +78,7 @@ EDGES = f"""
 o as (select *, row_number() over (partition by book, page order by pos) as a,
         row_number() over (partition by book, page order by pos desc) as z from l where {TRIM.format('text')} <> ''),
 e as (select * from o where a <= 2 or z <= 2)"""
-SHORT = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) <= 8 and not contains(text, '|')"
+SHORT = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 8 and not contains(text, '|')"
 RUNNING = f"""with {LINES}, {EDGES},
 k as (select book, page, pos, text, {KEY_CLEANUP} as key from e where {SHORT}),
 kd as (select distinct book, page, key from k where key <> ''),
@@ -427,24 +427,30 @@ def evaluation_margins(spark, sf_dir):
 
 
 STYLED = """
-sl as (select (page_id % 10)::bigint as book, page_id as page, i as line_no, tag, txt as text,
-   case tag when 'h1' then 18.0 when 'li' then 9.0 else 10.0 end::double as size, tag = 'h1' as bold
+sl as (select *, case when line_no = 1 then null when line_no % 7 = 0 then size * 2 else size * 1.5::double end as gap_before from
+  (select (page_id % 10)::bigint as book, page_id as page, i as line_no, tag, txt as text,
+   case tag when 'h1' then 18.0 when 'li' then case when i % 4 = 0 then 10.2 else 9.0 end else 10.0 end::double as size,
+   tag = 'h1' or i % 9 = 5 as bold, i % 6 = 5 as centered
    from (select page_id, unnest(tags) as tag, unnest(txts) as txt, generate_subscripts(tags, 1) as i from
-     (select page_id, regexp_extract_all(html, '<(h1|p|li)>([^<]+)', 1) as tags, regexp_extract_all(html, '<(h1|p|li)>([^<]+)', 2) as txts from pages)))"""
+     (select page_id, regexp_extract_all(html, '<(h1|p|li)>([^<]+)', 1) as tags, regexp_extract_all(html, '<(h1|p|li)>([^<]+)', 2) as txts from pages))))"""
 
 
 def styled(spark, sf_dir) -> DataFrame:
+    """Lines of the pages' HTML with styles by tag and line number."""
     rx = F.lit("<(h1|p|li)>([^<]+)")
     x = read(spark, sf_dir, "pages").select(
         (F.col("page_id") % 10).cast("long").alias("book"),
         F.col("page_id").alias("page"),
         F.posexplode(F.arrays_zip(F.regexp_extract_all("html", rx, 1).alias("tag"), F.regexp_extract_all("html", rx, 2).alias("text"))).alias("i", "x"),
     )
-    size = F.when(F.col("x.tag") == "h1", 18.0).when(F.col("x.tag") == "li", 9.0).otherwise(10.0)
-    return x.select(
-        "book", "page", (F.col("i") + 1).alias("line_no"), F.col("x.text").alias("text"), size.alias("size"), (F.col("x.tag") == "h1").alias("bold"),
-        F.lit(False).alias("centered"), F.lit(None).cast("double").alias("gap_before"),
+    n = F.col("i") + 1
+    size = F.when(F.col("x.tag") == "h1", 18.0).when(F.col("x.tag") == "li", F.when(n % 4 == 0, 10.2).otherwise(9.0)).otherwise(10.0)
+    x = x.select(
+        "book", "page", n.alias("line_no"), F.col("x.text").alias("text"), size.alias("size"),
+        ((F.col("x.tag") == "h1") | (n % 9 == 5)).alias("bold"), (n % 6 == 5).alias("centered"),
     )
+    gap = F.when(F.col("line_no") % 7 == 0, F.col("size") * 2).when(F.col("line_no") > 1, F.col("size") * 1.5)
+    return x.withColumn("gap_before", gap)
 
 
 KEY_HEAD = SQUEEZE.format("regexp_replace(lower(text), '[0-9]', '#', 'g')")
@@ -455,19 +461,44 @@ ed as (select *, row_number() over (partition by book, page order by line_no) as
 ks as (select distinct book, page, {KEY_HEAD} as key from ed where a <= 2 or z <= 2),
 np as (select book, count(distinct page) as pages from sl group by book),
 rn as (select book, key from ks join np using (book) group by book, key, pages having count(*) >= greatest(3, ceil(pages / 4))),
-cd as (select * from (select *, {KEY_HEAD} as key, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) as nw from sl) join bo using (book)
-  where nw between 1 and 15 and regexp_matches(text, '\\p{{L}}') and not regexp_matches({TRIM.format('text')}, '[,;]$')
-  and (size >= body * 1.12::double or (bold and size >= body * 0.95::double)) and not exists (from rn where rn.book = bo.book and rn.key = key)),
-cf as (select cd.* from cd left join rn on rn.book = cd.book and rn.key = cd.key where rn.key is null),
-lv as (select book, size, bold, least(dense_rank() over (partition by book order by size desc, bold desc), 4) as level from (select distinct book, size, bold from cf))"""
-HEADINGS = HEADINGS.replace(" and not exists (from rn where rn.book = bo.book and rn.key = key)", "")
+jl as (select *, round(size * 2) as half, size >= body * 1.12::double as large from (select *, {KEY_HEAD} as key, {WORDS} as w from sl) join bo using (book)),
+cf as (select jl.* from jl left join rn on rn.book = jl.book and rn.key = jl.key where rn.key is null
+  and len(w) between 1 and 15 and regexp_matches(text, '\\p{{L}}') and not regexp_matches({TRIM.format('text')}, '[,;]$')
+  and (large or ((bold or centered) and size >= body * 0.95::double))),
+lv as (select book, half, bold, centered, least(dense_rank() over (partition by book order by half desc, bold desc, centered desc), 4) as level from (select distinct book, half, bold, centered from cf))"""
 
 
-@query(HEADINGS + " select book, page, line_no::int as line_no, text, size, level::int as level from cf join lv using (book, size, bold)")
+@query(HEADINGS + " select book, page, line_no::int as line_no, text, size, level::int as level from cf join lv using (book, half, bold, centered)")
 def heading_candidates(spark, sf_dir):
     return cleanup.heading_candidates(styled(spark, sf_dir)).select("book", "page", "line_no", "text", "size", "level")
 
 
+def bookmarks(spark, sf_dir) -> DataFrame:
+    """An outline: of every third page the second line, with a dash before it,
+    then the fifth with a word before it."""
+    x = styled(spark, sf_dir).where("page % 3 = 0 and line_no in (2, 5)")
+    title = F.when(F.col("line_no") == 2, F.concat(F.lit("– "), "text")).otherwise(F.concat(F.lit("Part. "), "text"))
+    return x.select("book", "page", F.col("line_no").alias("ord"), title.alias("title"), F.col("line_no").alias("depth"))
+
+
+@query(
+    HEADINGS
+    + """, ol as (select book, page, line_no as ord, case line_no when 2 then w else ['part'] || w end as title, least(line_no + 1, 4) as level from jl where page % 3 = 0 and line_no in (2, 5)),
+hit as (select book, page, line_no, arg_min(level, ord) as olevel from jl join ol using (book, page) where line_no <= 8 and len(w) between 1 and 15 and len(title) > 0
+  and (title = w or (len(w) <= 4 and (centered or bold or large) and len(title) >= len(w) and title[len(title) - len(w) + 1:] = w)) group by all),
+al as (select jl.*, lv.level, olevel, lv.level is not null and olevel is null as run from jl left join (select book, page, line_no, level from cf join lv using (book, half, bold, centered)) lv using (book, page, line_no)
+  left join hit using (book, page, line_no)),
+br as (select *, case when run and lag(run) over w0 and lag(half) over w0 = half and lag(bold) over w0 = bold and lag(centered) over w0 = centered and gap_before <= size * 1.6::double then 0 else 1 end as new
+  from al window w0 as (partition by book, page order by line_no)),
+gr as (select *, sum(new) over (partition by book, page order by line_no) as g from br)
+select book, page, min(line_no)::int as line_no, min(coalesce(olevel, level))::int as level, string_agg("""
+    + TRIM.format("text")
+    + """, ' ' order by line_no) as text from gr where run or olevel is not null group by book, page, g"""
+)
+def proposed_headings(spark, sf_dir):
+    return cleanup.proposed_headings(styled(spark, sf_dir), bookmarks(spark, sf_dir))
+
+
 @query(f"with {STYLED}, bw as (select book, round(size * 2) / 2 as h, sum(length(text)) as n from sl group by all) select book, arg_max(h, (n, -h)) as body from bw group by book")
 def body_sizes(spark, sf_dir):
     return cleanup.body_sizes(styled(spark, sf_dir))

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,32 +102,68 @@ def local(tag: str) -> str:
     return tag.rpartition("}")[2].lower()
 
 
-def chapter_blocks(xhtml: bytes) -> list[tuple[str, str, bool]]:
-    """(tag, text, editable): innermost text blocks in order; editable ones hold
-    no element."""
-    out = []
-
-    def walk(e) -> bool:
-        inner = False
-        for c in e:
-            inner = walk(c) or inner
-        own = local(e.tag) in BLOCK_TAGS if isinstance(e.tag, str) else False
-        if own and not inner:
-            text = " ".join("".join(e.itertext()).split())
-            if text:
-                out.append((local(e.tag), text, len(e) == 0))
-        return own or inner
-
-    walk(ElementTree.fromstring(xhtml))
+def placed_blocks(xhtml: bytes) -> list[tuple[str, str, bool, int, int]]:
+    """(tag, text, editable, start, end) of the innermost text blocks in order;
+    editable ones hold no element and no CDATA section.  Start and end are the
+    bytes of what stands between the tags.  Depth is no limit."""
+    out: list[tuple[str, str, bool, int, int]] = []
+    # of each open element: tag, text, whether it is plain, whether a block is in it, where its content starts
+    stack: list[list] = []
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = False
+
+    def begun():
+        if stack and stack[-1][4] is None:
+            stack[-1][4] = parser.CurrentByteIndex
+
+    def start(tag, _):
+        begun()
+        if stack:
+            stack[-1][2] = False
+        stack.append([local(tag), [], True, False, None])
+
+    def end(_):
+        begun()
+        tag, text, plain, inner, at = stack.pop()
+        block = tag in BLOCK_TAGS
+        if block and not inner and (words := " ".join("".join(text).split())):
+            out.append((tag, words, plain, at, parser.CurrentByteIndex))
+        if stack:
+            stack[-1][1] += text
+            stack[-1][3] |= block or inner
+
+    def cdata():
+        begun()
+        stack[-1][2] = False
+
+    def chars(data):
+        begun()
+        stack[-1][1].append(data)
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.StartCdataSectionHandler, parser.CharacterDataHandler = cdata, chars
+    parser.CommentHandler = parser.DefaultHandler = lambda _: begun()
+    parser.ProcessingInstructionHandler = lambda *_: begun()
+    parser.Parse(xhtml, True)
     return out
 
 
+def chapter_blocks(xhtml: bytes) -> list[tuple[str, str, bool]]:
+    """(tag, text, editable) of ``placed_blocks``."""
+    return [b[:3] for b in placed_blocks(xhtml)]
+
+
+def package_path(package: zipfile.ZipFile) -> str:
+    """The entry of the package document."""
+    top = ElementTree.fromstring(package.read("META-INF/container.xml"))
+    return next(e.attrib["full-path"] for e in top.iter() if local(e.tag) == "rootfile")
+
+
 def epub_chapters(content: bytes) -> list[tuple[int, str, bytes]]:
     """(number, entry, XHTML) of the spine's chapters that the package has."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        top = ElementTree.fromstring(z.read("META-INF/container.xml"))
-        opf = next(e.attrib["full-path"] for e in top.iter() if local(e.tag) == "rootfile")
+        opf = package_path(z)
         package = ElementTree.fromstring(z.read(opf))
         items = {e.attrib["id"]: e.attrib["href"] for e in package.iter() if local(e.tag) == "item"}
         out = []
