@@ -7,6 +7,7 @@ through once, Arrow-batched.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,6 +64,12 @@ def visible_text(text: pd.Series) -> pd.Series:
     return text.map(visible)
 
 
+@F.pandas_udf(StringType())
+def compared_text(text: pd.Series) -> pd.Series:
+    """Visible text in composed form (NFC), as evaluation compares it."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", visible(t)))
+
+
 FIGURE = r"\[\[figure:[0-9]+,[0-9]+,[0-9]+,[0-9]+\]\]"
 _BOX = re.compile(r"bbox_([0-9]+)[_.\"']([0-9]+)[_.\"']([0-9]+)[_.\"']([0-9]+)(?:[_.\"']|$)")
 _THOUGHT = re.compile(r"<think>.*?(?:</think>|\Z)", re.S)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quirework.functions import text as T
+from quirework.shipping import ship
 
 
 def references(parts: DataFrame) -> DataFrame:
@@ -51,6 +56,48 @@ def kept_references(refs: DataFrame, gone: DataFrame) -> DataFrame:
     return refs.join(gone.select("doc_id", "name"), ["doc_id", "name"], "left_anti")
 
 
+def without_references(text) -> Column:
+    """The text without any image reference."""
+    return F.regexp_replace(T.col(text), r"!\[[^\]]*\]\([^)]*\)", "")
+
+
+_TARGET = re.compile(r"\]\(([^)]*)\)")
+
+
+def without_images(text: str | None, names) -> str | None:
+    """The text without references to these files, whatever their other text."""
+    if text is None or names is None:
+        return text
+    gone, out, at = set(names), [], 0
+    for m in _TARGET.finditer(text):
+        if m[1] not in gone:
+            continue
+        start = text.rfind("![", at, m.start())
+        if start < 0:  # it may begin before a reference that went
+            held = "".join([*out, text[at : m.start()]])
+            start = held.rfind("![")
+            if start < 0:
+                gone.discard(m[1])
+                continue
+            out = [held[:start]]
+        else:
+            out.append(text[at:start])
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(StringType())
+def _without_images(text: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([without_images(t, n) for t, n in zip(text, names, strict=True)], dtype=object)
+
+
+def drop_references(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) without the references to ``gone`` (doc_id, name)."""
+    ship(docs.sparkSession)
+    names = gone.groupBy("doc_id").agg(F.collect_set("name").alias("_names"))
+    return docs.join(names, "doc_id", "left").withColumn("text", _without_images("text", "_names")).select(*docs.columns)
+
+
 def anchors(images: DataFrame, texts: DataFrame) -> DataFrame:
     """Each image's anchor: the first 24 letters of the highest text below it
     that overlaps it; null if there is none.  Coordinates grow upwards."""

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quirework.functions import readings
 from quirework.functions import text as T
 from quirework.operators.doubt import bag_matches, bags
+from quirework.shipping import ship
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -147,3 +149,51 @@ def expected_titles(curated: DataFrame, outline: DataFrame) -> DataFrame:
     rest = outline.join(curated.select("book").distinct(), "book", "left_anti")
     own = curated.withColumn("title", T.trim_space("title")).where("title <> ''")
     return own.select("book", "ord", "title").unionByName(rest.select("book", "ord", "title"))
+
+
+def scanned_scores(wanted: DataFrame, references: DataFrame, output: DataFrame) -> DataFrame:
+    """Scores of scanned books over their reference pages: words and numbers
+    pooled over the book, order and character errors as means over pages, and
+    ``notes`` on pages without a reference or an output, in page order.
+
+    ``wanted``: book, page; the others: book, page, text (Markdown).  Scores are
+    null where no reference word is left to compare."""
+    ship(wanted.sparkSession)
+    r = references.select("book", "page", readings.compared_text("text").alias("a"))
+    o = output.select("book", "page", readings.compared_text("text").alias("b"))
+    x = wanted.select("book", "page").distinct().join(r, ["book", "page"], "left").join(o, ["book", "page"], "left")
+    note = F.when(F.col("a").isNull(), F.concat(F.lit("no reference of page "), "page")).when(F.col("b").isNull(), F.concat(F.lit("the output marks no page "), "page"))
+    x = x.withColumn("note", note).withColumn("wa", T.tok_alnum("a")).withColumn("wb", T.tok_alnum("b"))
+    both = F.col("note").isNull()
+    order = F.when(both & (F.size("wa") > 0), lcs("wa", "wb") / F.size("wa"))
+    x = x.withColumn("order", order).withColumn("cer", F.when(both, char_error_rate("a", "b")))
+    means = x.groupBy("book").agg(
+        F.avg("order").alias("order"),
+        F.avg("cer").alias("cer"),
+        F.array_sort(F.collect_list(F.when(~both, F.struct("page", "note")))).alias("notes"),
+    )
+    pooled = x.where(both).select("book", F.explode(F.array(F.struct("wa", F.lit("a").alias("side")), F.struct(F.col("wb").alias("wa"), F.lit("b").alias("side")))).alias("x"))
+    n = pooled.select("book", "x.side", F.explode("x.wa").alias("word")).groupBy("book", "word").agg(
+        F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb")
+    )
+    same, number = F.least("na", "nb"), F.col("word").rlike("[0-9]")
+    sums = n.groupBy("book").agg(
+        F.sum("na").alias("_a"), F.sum("nb").alias("_b"), F.sum(same).alias("_m"),
+        F.sum(F.when(number, F.col("na"))).alias("_na"), F.sum(F.when(number, same)).alias("_nm"),
+    )
+    y = means.join(sums, "book", "left")
+    any_words = F.coalesce(F.col("_a"), F.lit(0)) > 0
+    return y.select(
+        "book",
+        *(
+            F.when(any_words, c).alias(name)
+            for name, c in {
+                "words_recall": ratio(F.col("_m"), F.col("_a")),
+                "words_precision": ratio(F.col("_m"), F.col("_b")),
+                "numbers_recall": ratio(F.col("_nm"), F.col("_na")),
+                "order": F.col("order"),
+                "cer": F.col("cer"),
+            }.items()
+        ),
+        F.col("notes.note").alias("notes"),
+    )

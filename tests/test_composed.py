@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import readings
-from quirework.operators import cleanup, geometry, polish, tables
+from quirework.operators import cleanup, conversion, geometry, images, metrics, polish, tables
 from quirework.sources import editing, readers, writers
 
 LINES = "book long, page long, line_no int, text string, size double, bold boolean, centered boolean, gap_before double"
@@ -143,3 +143,47 @@ def test_epub_editing(spark):
     assert {r.text for r in editing.chapter_view(view, 9).collect()} == {"second"} and editing.chapter_view(view, -1).where("chapter <> 0").count() == 0
     deep = b"<html>" + b"<div>" * 5000 + b"<p>x</p>" + b"</div>" * 5000 + b"</html>"
     assert readers.chapter_blocks(deep) == [("p", "x", True)]
+
+
+def test_references_dropped(spark):
+    docs = spark.createDataFrame([(1, "![a](x.png) b ![c [d](y.png) ![e](x.png)f"), (2, "![](z)"), (3, None)], "doc_id long, text string")
+    gone = spark.createDataFrame([(1, "x.png"), (1, "q"), (3, "x")], "doc_id long, name string")
+    assert {r.doc_id: r.text for r in images.drop_references(docs, gone).collect()} == {1: " b ![c [d](y.png) f", 2: "![](z)", 3: None}
+    assert images.without_images("![a ![b](x) c](x) d](x)", ["x"]) == " d](x)" and images.without_images("](x) ![a](x)", ["x"]) == "](x) ![a](x)"
+    assert [r[0] for r in docs.select(images.without_references("text")).collect()] == [" b  f", "", None]
+
+
+def test_scanned_scores(spark):
+    page = "book string, page int, text string"
+    wanted = spark.createDataFrame([("b", p) for p in (1, 2, 3, 4)] + [("c", 1), ("d", 1)], "book string, page int")
+    refs = spark.createDataFrame([("b", 1, "# One two 33"), ("b", 2, "cafe\u0301 *x*"), ("b", 4, "lost"), ("c", 1, ""), ("b", 9, "not asked for")], page)
+    out = spark.createDataFrame([("b", 1, "two one 33"), ("b", 2, "caf\u00e9 x <b>y</b>"), ("b", 3, "more"), ("c", 1, "words")], page)
+    got = {r.book: r for r in metrics.scanned_scores(wanted, refs, out).collect()}
+    b = got["b"]
+    assert (b.words_recall, b.words_precision, b.numbers_recall) == (1.0, 5 / 6, 1.0)
+    assert b.order == pytest.approx((2 / 3 + 1) / 2) and b.cer == pytest.approx((6 / 10 + 2 / 6) / 2)
+    assert b.notes == ["no reference of page 3", "the output marks no page 4"]
+    assert got["c"][1:6] == (None,) * 5 and got["c"].notes == []
+    assert got["d"][1:6] == (None,) * 5 and got["d"].notes == ["no reference of page 1"]
+
+
+def test_conversion(spark):
+    words = [f"word{i}" for i in range(40)]
+    clear, garbled = " ".join(words), " ".join(words[:25] + [f"g{i}" for i in range(15)])
+    md = f"![cover](c.png)\n\n<!-- page: 1 -->\n\n{clear}\n\n<!-- page: 2 -->\n\n{garbled}\n\n<!-- page: 3 -->\n\n{garbled}\n\n<!-- page: 2 -->\n\nagain"
+    docs = spark.createDataFrame([(1, md, True), (2, md, False), (3, None, True)], "doc_id long, text string, scanned boolean")
+    refs = spark.createDataFrame([(d, p, clear) for d in (1, 2) for p in (1, 2, 3)], REFS)
+    better = " ".join(words[:25] + ["now"] * 5) + "\n\n[[figure:1,2,300,400]]"
+    rereads = [(1, 1, "not asked", 5.0), (1, 2, f"{better} {' '.join(f'g{i}' for i in range(15))}", 5.0), (1, 3, "nothing alike", 400.0), (2, 2, "x", 1.0)]
+    rereads = spark.createDataFrame(rereads, "book long, page int, text string, seconds double")
+    ink = spark.createDataFrame([], "book long, page int, ink double")
+    lines, outline = spark.createDataFrame([], LINES), spark.createDataFrame([], OUTLINE)
+    got = {r.doc_id: r for r in conversion.convert(docs, lines, outline, refs, rereads, ink).collect()}
+    assert got[1].reread == [2] and got[2].reread == [] and got[3].text is None and got[3].reread == []
+    assert "now now" in got[1].text and "not asked" not in got[1].text and "nothing alike" not in got[1].text
+    assert "c.png" not in got[1].text + got[2].text and got[1].text.endswith("<!-- page: 2 -->\n\nagain") and "now" not in got[2].text
+    # a refused reading leaves its figures where they are expected
+    pages = spark.createDataFrame([(1, 1, "kept words"), (1, 2, "same words here")], "book long, page int, text string")
+    again = spark.createDataFrame([(1, 1, "other\n\n[[figure:1,2,300,400]]", 9e9), (1, 2, None, 1.0)], "book long, page int, text string, seconds double")
+    full = {r.page: r for r in conversion.reread_pages(pages, again, refs, ink, full=True).collect()}
+    assert full[1].text == "kept words\n\n[[figure:1,2,300,400]]" and not full[1].accepted and (full[2].text, full[2].accepted) == (None, False)
