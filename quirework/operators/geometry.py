@@ -32,14 +32,13 @@ def is_bold(font, weight, reinforced) -> Column:
     return F.greatest(*(F.coalesce(f, F.lit(False)) for f in flags))
 
 
-def gutter(pieces: pd.DataFrame) -> tuple[float, float] | None:
+def gutter(pieces: list[dict]) -> tuple[float, float] | None:
     """The widest strip in the middle third that hardly any letter crosses, with
     text enough on both sides; null on pages of one column."""
-    letters = pieces["letters"].to_numpy()
+    letters, left, right = (np.array([p[c] for p in pieces]) for c in ("letters", "left", "right"))
     total = letters.sum()
     if not total:
         return None
-    left, right = pieces["left"].to_numpy(), pieces["right"].to_numpy()
     low, high = left.min(), right.max()
     width = high - low
     if width < NARROW:
@@ -62,33 +61,33 @@ def gutter(pieces: pd.DataFrame) -> tuple[float, float] | None:
     return best if min(sides) * SIDE >= total else None
 
 
-def banded(pieces: pd.DataFrame) -> list[pd.DataFrame]:
+def banded(pieces: list[dict]) -> list[list[dict]]:
     """Bands from the top down; a piece joins a band whose first piece's centre
     is within half the larger height."""
-    pieces = pieces.sort_values(["center", "left"], ascending=[False, True], kind="stable")
-    starts, first = [], None
-    for i, (c, h) in enumerate(zip(pieces["center"], pieces["height"], strict=True)):
-        if first is None or abs(first[0] - c) > 0.5 * max(first[1], h):
-            first = (c, h)
-            starts.append(i)
-    ends = [*starts[1:], len(pieces)]
-    return [pieces.iloc[a:b] for a, b in zip(starts, ends, strict=True)]
+    bands: list[list[dict]] = []
+    for p in sorted(pieces, key=lambda p: (-p["center"], p["left"])):
+        if bands and abs(bands[-1][0]["center"] - p["center"]) <= 0.5 * max(bands[-1][0]["height"], p["height"]):
+            bands[-1].append(p)
+        else:
+            bands.append([p])
+    return bands
 
 
-def in_columns(bands: list[pd.DataFrame], strip: tuple[float, float] | None) -> list[tuple[pd.DataFrame, int]]:
+def in_columns(bands: list[list[dict]], strip: tuple[float, float] | None) -> list[tuple[list[dict], int]]:
     """Bands in reading order with their column: between two bands over the whole
     width the left column comes first, then the right one."""
     if strip is None:
         return [(b, WHOLE) for b in bands]
     out, lefts, rights = [], [], []
     for b in bands:
-        if ((b["left"] < strip[1] - 0.5) & (b["right"] > strip[0] + 0.5)).any():
+        if any(p["left"] < strip[1] - 0.5 and p["right"] > strip[0] + 0.5 for p in b):
             out += [*lefts, *rights, (b, WHOLE)]
             lefts, rights = [], []
             continue
-        on_left = b["right"] <= strip[0] + 0.5
-        lefts += [(b[on_left], LEFT)] if on_left.any() else []
-        rights += [(b[~on_left], RIGHT)] if not on_left.all() else []
+        on_left = [p for p in b if p["right"] <= strip[0] + 0.5]
+        on_right = [p for p in b if p["right"] > strip[0] + 0.5]
+        lefts += [(on_left, LEFT)] if on_left else []
+        rights += [(on_right, RIGHT)] if on_right else []
     return [*out, *lefts, *rights]
 
 
@@ -98,57 +97,63 @@ def common_edge(values: list[float]) -> float:
     return min(steps, key=lambda k: (-steps[k], k)) * EDGE
 
 
-def joined(texts, lefts, rights, size: float) -> str:
+def joined(line: list[dict], size: float) -> str:
     """Pieces joined, with a blank where the gap is over a quarter of the size."""
     out, end = "", None
-    for t, left, right in zip(texts, lefts, rights, strict=True):
-        if t := t.strip():
-            out += " " * (end is not None and left - end > max(size, 1.0) * 0.25) + t
-            end = right
+    for p in line:
+        if t := p["text"].strip():
+            out += " " * (end is not None and p["left"] - end > max(size, 1.0) * 0.25) + t
+            end = p["right"]
     return out
 
 
-def once(line: pd.DataFrame) -> pd.DataFrame:
+def once(line: list[dict]) -> list[dict]:
     """Pieces drawn twice almost on top of each other, as bold fakes are, once."""
-    kept: list[int] = []
-    rows = list(line[["text", "left", "right"]].itertuples(index=False))
-    for i, r in enumerate(rows):
+    kept: list[dict] = []
+    for p in line:
         if kept:
-            p = rows[kept[-1]]
-            overlap = min(p.right, r.right) - max(p.left, r.left)
-            if r.text.strip() == p.text.strip() and overlap > max(r.right - r.left, 0.1) * 0.5:
+            overlap = min(kept[-1]["right"], p["right"]) - max(kept[-1]["left"], p["left"])
+            if p["text"].strip() == kept[-1]["text"].strip() and overlap > max(p["right"] - p["left"], 0.1) * 0.5:
                 continue
-        kept.append(i)
-    return line.iloc[kept]
+        kept.append(p)
+    return kept
 
 
-def page_lines(pieces: pd.DataFrame) -> list[tuple]:
+def left_of(line: list[dict]) -> float:
+    return min(p["left"] for p in line)
+
+
+def right_of(line: list[dict]) -> float:
+    return max(p["right"] for p in line)
+
+
+def page_lines(pieces: list[dict]) -> list[tuple]:
     """(text, size, bold, centered, gap_before, column) of a page's lines, in
     reading order.  Pieces without a letter or digit form no line of their own."""
     lines = in_columns(banded(pieces), gutter(pieces))
     bounds = {}
     for column in (WHOLE, LEFT, RIGHT):
         own = [b for b, c in lines if column in (WHOLE, c)]
-        bounds[column] = (common_edge([b["left"].min() for b in own]), common_edge([b["right"].max() for b in own])) if own else None
+        bounds[column] = (common_edge([left_of(b) for b in own]), common_edge([right_of(b) for b in own])) if own else None
     out, above = [], None
     for band, column in lines:
-        band = band.sort_values("left", kind="stable")
+        band = sorted(band, key=lambda p: p["left"])
         line = once(band)
-        total = line["letters"].sum()
+        total = sum(p["letters"] for p in line)
         if not total:
             continue
-        half = np.floor(line["size"] * 2 + 0.5).astype(int)
-        weights = line.groupby(half)["letters"].sum()
-        size = float(min(weights.index, key=lambda k: (-weights[k], k))) / 2
-        bold = len(line) < len(band) or line.loc[line["bold"], "letters"].sum() * 5 >= total * 4
+        weights: Counter = Counter()
+        for p in line:
+            weights[int(np.floor(p["size"] * 2 + 0.5))] += p["letters"]
+        size = min(weights, key=lambda k: (-weights[k], k)) / 2
+        bold = len(line) < len(band) or sum(p["letters"] for p in line if p["bold"]) * 5 >= total * 4
         centered = False
         if bounds[column] and bounds[column][1] > bounds[column][0]:
             low, high = bounds[column]
-            a, z, width = line["left"].min() - low, high - line["right"].max(), high - low
+            a, z, width = left_of(line) - low, high - right_of(line), high - low
             centered = a > width * 0.15 and z > width * 0.15 and abs(a - z) < width * 0.08
-        center = float(line["center"].iloc[0])
-        text = joined(line["text"], line["left"], line["right"], size)
-        out.append((text, size, bool(bold), bool(centered), None if above is None else abs(above - center), column))
+        center = line[0]["center"]
+        out.append((joined(line, size), size, bool(bold), bool(centered), None if above is None else abs(above - center), column))
         above = center
     return out
 
@@ -170,7 +175,7 @@ def styled_lines(pieces: DataFrame) -> DataFrame:
             rows = [
                 (book, page, n, *line)
                 for book, page, x in zip(f["book"], f["page"], f["x"], strict=True)
-                for n, line in enumerate(page_lines(pd.DataFrame(list(x))), 1)
+                for n, line in enumerate(page_lines(list(x)), 1)
             ]
             yield pd.DataFrame(rows, columns=["book", "page", "line_no", "text", "size", "bold", "centered", "gap_before", "column"])
 
