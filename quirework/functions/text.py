@@ -300,13 +300,27 @@ def stem(name) -> Column:
     return F.regexp_replace(col(name), r"(?i)\.[a-z0-9]+$", "")
 
 
+def tenths(x: Column) -> Column:
+    """Ten times a double >= 0 as a whole number, rounded as printf does: by the
+    double's exact value, not its shortest decimal (1.65 is below 1.65), ties to
+    even."""
+    eight, two = x * 8, x * 2  # both exact; ``lost`` is what their sum rounds off
+    high = eight + two
+    lost = two - (high - eight)
+    whole = F.floor(high)
+    rest = high - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    return whole + up.cast("long")
+
+
 def duration_label(seconds) -> Column:
     """Seconds under 90, minutes under 90, else hours with a decimal comma."""
     s = col(seconds).cast("double")
+    hours = tenths(s / 3600)
     return (
         F.when(s < 90, F.concat(F.greatest(F.lit(1), F.floor(s + 0.5)).cast("string"), F.lit(" s")))
         .when(s < 5400, F.concat(F.floor(s / 60 + 0.5).cast("string"), F.lit(" min")))
-        .otherwise(F.concat(F.replace(F.format_string("%.1f", s / 3600), F.lit("."), F.lit(",")), F.lit(" h")))
+        .otherwise(F.concat(F.floor(hours / 10).cast("string"), F.lit(","), (hours % 10).cast("string"), F.lit(" h")))
     )
 
 
