@@ -17,7 +17,7 @@ def col(c) -> Column:
 
 
 def _split(text: Column, by: str) -> Column:
-    return F.filter(F.split(text, by), lambda w: w != "")
+    return F.array_remove(F.split(text, by), "")
 
 
 def tok_alnum(text) -> Column:
@@ -217,15 +217,21 @@ def odd_form(token) -> Column:
     return F.regexp_replace(col(token), "^[^\\p{L}\\p{N}\uFFFD]+|[^\\p{L}\\p{N}\uFFFD]+$", "")
 
 
+def may_be_odd(text, main=None) -> Column:
+    """Whether a text holds a digit, a replacement character or letters of another
+    script, as every odd token does."""
+    foreign = F.lit(False)
+    if main is not None:
+        foreign = (col(main) != "latin") | col(text).rlike("[" + "".join(r for s, r in SCRIPTS.items() if s != "latin") + "]")
+    return col(text).rlike("[\\p{N}\uFFFD]") | F.coalesce(foreign, F.lit(False))
+
+
 def is_odd(token, main=None) -> Column:
     """A replacement character, a letter of another script than the ``main`` one,
     or letters and digits mixed, but for ordinals ("3rd") and codes of one letter
     ("A25"); link parts are not looked at."""
     # most tokens hold no digit and no other letters: they are told by one look
-    foreign = F.lit(False)
-    if main is not None:
-        foreign = (col(main) != "latin") | col(token).rlike("[" + "".join(r for s, r in SCRIPTS.items() if s != "latin") + "]")
-    maybe = col(token).rlike("[\\p{N}\uFFFD]") | F.coalesce(foreign, F.lit(False))
+    maybe = may_be_odd(token, main)
     t = odd_form(token)
     kinds = F.regexp_replace(t, r"[^\p{L}\p{N}]", "")
     switches = F.size(F.regexp_extract_all(kinds, F.lit(r"(\p{L}(?=\p{N})|\p{N}(?=\p{L}))"), 1))

@@ -46,8 +46,7 @@ def marker_page(text="text") -> Column:
 
 def is_content(text="text") -> Column:
     """Neither empty nor an image nor a comment."""
-    t = T.trim_space(text)
-    return (t != "") & ~t.startswith("![") & ~t.startswith("<!--")
+    return T.col(text).rlike(r"^\s*+(?!!\[|<!--)\S")
 
 
 def with_pages(parts: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from quirework.functions import text as T
 from quirework.operators import blocks as B
 from quirework.operators import cleanup, doubt, headings, library, metrics, repair, review, tables, translation
 from quirework.shipping import ship
+from quirework.staging import staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,6 +44,12 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(B.is_content()).withColumnRenamed("pos", "block")
 
 
+def content_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks, a page a row: they come so, and needn't be dealt out."""
+    texts = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("block"), t.alias("text")))
+    return pages(spark, sf_dir).select("book", "page", F.filter(texts, lambda b: B.is_content(b["text"])).alias("texts"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("lang").alias("book"), F.col("doc_id").alias("page"), "text")
 
@@ -286,9 +293,10 @@ q as (select book, page, case when page % 6 = 1 then replace(text, 'ing', '-' ||
 
 @query(f"{VOCAB}, {HALVED}, {UNSUPPORTED} select book, page, pos::int as block, n from un")
 def unsupported_words(spark, sf_dir):
-    c = content(spark, sf_dir)
-    missing = review.missing_words(c, halved(pages(spark, sf_dir)), review.vocabulary(c))
-    return review.unsupported(c, missing).select("book", "page", "block", "n")
+    refs = halved(pages(spark, sf_dir))
+    vocab = staged(review.vocabulary(content(spark, sf_dir)), "vocabulary")
+    c = staged(review.compared(content_pages(spark, sf_dir), refs, vocab), "compared")
+    return review.unsupported(c, review.missing_words(c, refs, vocab)).select("book", "page", "block", "n")
 
 
 SUSPECTS = f"""{PAIRED},
@@ -307,9 +315,10 @@ ss as (select book, page, pos, i, min(o) as o, arg_min(found, o) as found from s
 )
 def suspect_words(spark, sf_dir):
     """Suspect tokens by precedence, on pages with and without a reference."""
-    c = content(spark, sf_dir)
-    vocab = review.vocabulary(c)
-    return review.suspects(c, review.missing_words(c, halved(pages(spark, sf_dir)), vocab), vocab)
+    refs = halved(pages(spark, sf_dir))
+    vocab = staged(review.vocabulary(content(spark, sf_dir)), "vocabulary")
+    c = staged(review.compared(content_pages(spark, sf_dir), refs, vocab), "compared")
+    return review.suspects(c, review.missing_words(c, refs, vocab), vocab).drop("key")
 
 
 STATES = "st as (select book, page, case when page % 50 = 0 then 1.0 else 3.0 end as risk from p where page % 50 = 0 or page % 20 = 3)"
@@ -325,7 +334,7 @@ ri as (select * from it union all select book, page, null, 'page:' || page, risk
 def review_items_of(spark, sf_dir) -> DataFrame:
     p = pages(spark, sf_dir)
     states = p.select("book", "page", (F.col("page") % 20 == 3).alias("doubtful"), (F.col("page") % 50 == 0).alias("reread"))
-    return review.review(content(spark, sf_dir), halved(p), states)
+    return review.review(content(spark, sf_dir), halved(p), states, content_pages(spark, sf_dir))
 
 
 @query(REVIEW + " select * from ri")
