@@ -27,4 +27,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     more than once doesn't compute it again."""
     path = f"{shared_dir(df.sparkSession)}/quirework/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files go when the driver collects its garbage, which may take until
+    # the disk is full: those of the finished write go now
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
