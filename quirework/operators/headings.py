@@ -18,11 +18,12 @@ from quirework.shipping import ship
 #: A title of at most so many letters must fill its block.
 SHORT = 3
 _WORD_END = re.compile(r"\S*")
+_OTHERS = re.compile(r"[\W_]+")
 
 
 def letters(text: str) -> str:
     """Letters and digits only, in lower case."""
-    return "".join(c for c in text if c.isalnum()).lower()
+    return _OTHERS.sub("", text).lower()
 
 
 def title_and_rest(block: str, n: int) -> tuple[str, str]:

@@ -144,10 +144,11 @@ def joined(text: str | None) -> tuple[str | None, int]:
     if text is None:
         return None, 0
     text = text.replace("\r\n", "\n")
-    seen = Counter(w.lower() for w in _WORDS.findall(text))
-    skip = untouchable(text)
+    seen = skip = None  # most texts have no break and need neither
     out, at, n, s = [], 0, 0, 0
     for m in _breaks(text):
+        if seen is None:
+            seen, skip = Counter(w.lower() for w in _WORDS.findall(text)), untouchable(text)
         hyphen = m.start()
         while s < len(skip) and skip[s][1] <= hyphen:
             s += 1

@@ -6,7 +6,7 @@ number), some are fenced, headings or images.  Each query has its DuckDB SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
@@ -17,9 +17,8 @@ from quirework.plans.standard import SQUEEZE, TRIM, query, read
 NL = "\n"
 
 
-def marked(spark, sf_dir, text=None) -> DataFrame:
-    """(doc_id, text): the Markdown of the documents' texts (or of what is made
-    of them)."""
+def marked_text(text) -> Column:
+    """A text's lines as Markdown with page markers."""
 
     def block(s, i):
         page = F.concat(F.lit("<!-- page: "), (F.floor(i / 3) + 1).cast("string"), F.lit(" -->\n\n"))
@@ -33,8 +32,14 @@ def marked(spark, sf_dir, text=None) -> DataFrame:
         )
         return F.concat(mark, body)
 
+    return F.array_join(F.transform(F.split(text, "\n"), block), "\n\n")
+
+
+def marked(spark, sf_dir, text=None) -> DataFrame:
+    """(doc_id, text): the Markdown of the documents' texts (or of what is made
+    of them)."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.array_join(F.transform(F.split("text" if text is None else text, "\n"), block), "\n\n").alias("text"))
+    return docs.select("doc_id", marked_text("text" if text is None else text).alias("text"))
 
 
 def parts(spark, sf_dir) -> DataFrame:
