@@ -126,7 +126,7 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": own["doc_id"], "text": own["text"]} | counts)
 
 
-def block_marks(blocks: str) -> Column:
+def block_marks(blocks: Column | str) -> Column:
     """What running matter asks of each block."""
     # a function's argument is worked out as often as it is used: by steps, once
     found = F.transform(blocks, lambda b: F.struct(b.alias("b"), B.is_marker(b).alias("is_marker"), b.rlike(r"\S").alias("filled")))
@@ -141,7 +141,7 @@ def block_marks(blocks: str) -> Column:
     )
 
 
-def line_marks(lines: str) -> Column:
+def line_marks(lines: Column | str) -> Column:
     """What headings ask of each line."""
     lower = F.transform(lines, lambda x: F.struct(x.alias("x"), F.lower(x["text"]).alias("t")))
     known = F.transform(
@@ -181,9 +181,17 @@ def outline_marks(x: Column) -> Column:
     )
 
 
+def reference_marks(x: Column) -> Column:
+    """A reference's dashes and, once each, the characters that an ornament may
+    have; far less than its text."""
+    symbols = F.array_distinct(F.split(F.regexp_replace(x["text"], r"[0-9A-Za-z\s]+", ""), ""))
+    pairs = F.when(x["text"].rlike(f"[{repair.DASHES}]"), repair.dash_pairs(x["text"]))
+    return F.struct(x["page"].cast("long").alias("page"), F.array_join(symbols, "").alias("symbols"), pairs.alias("pairs"))
+
+
 def without_ornaments(section: Column, references: Column) -> Column:
     """A section's blocks, its marker first, without ornaments."""
-    ref = F.when(section["ref"] > 0, F.element_at(references, section["ref"])["text"])
+    ref = F.when(section["ref"] > 0, F.element_at(references, section["ref"])["symbols"])
     blocks = F.when(section["text"].isNotNull(), F.split(section["text"], "\n\n")).otherwise(F.array())
 
     def stays(b: Column) -> Column:
@@ -194,46 +202,48 @@ def without_ornaments(section: Column, references: Column) -> Column:
     return F.array_compact(F.concat(F.array(section["marker"]), F.filter(blocks, stays)))
 
 
-def polish_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, and the five ``COUNTERS``): margins go, dashes come back,
-    ornaments go, broken words are joined, headings are marked, in this order.
-
-    ``docs``: doc_id, text and the arrays ``lines`` (``LINE``), ``outline``
-    (``MARK``) and ``references`` (``REFERENCE``, one a page), each null or empty
-    where a document has none; ``line_no`` is unique on its page.  A null text
-    stays null, with zeros."""
+def polish_marked(docs: DataFrame) -> DataFrame:
+    """``polish_rows`` with the marks of lines, bookmarks and references."""
     spark = docs.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
     x = docs.withColumn("_blocks", F.split(readers.normalized_markers("text"), "\n\n"))
-    pairs = F.transform("references", lambda r: F.when(r["text"].rlike(f"[{repair.DASHES}]"), repair.dash_pairs(r["text"])))
-    pages = F.transform("references", lambda r: r["page"].cast("long"))
     # worked out once: the optimizer doubles no function that it takes for a random one
-    texts = _page_texts.asNondeterministic()("_blocks", block_marks("_blocks"), pages, pairs)
+    texts = _page_texts.asNondeterministic()("_blocks", block_marks("_blocks"), "references.page", "references.pairs")
     x = x.select("doc_id", "lines", "outline", "references", texts.alias("_x"))
     kept = F.transform("_x.sections", lambda s: without_ornaments(s, F.col("references")))
-    x = x.select(
-        "doc_id", "_x.blocks", "_x.removed_margins", "_x.restored_dashes", kept.alias("sections"), line_marks("lines").alias("lines"),
-        F.transform("outline", outline_marks).alias("outline"),
-    )
+    x = x.select("doc_id", "_x.blocks", "_x.removed_margins", "_x.restored_dashes", kept.alias("sections"), "lines", "outline")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return x.mapInArrow(_finished, f"doc_id {kind}, text string, {', '.join(f'{c} long' for c in COUNTERS)}")
 
 
-def gathered(table: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
-    """(doc_id, ``name``): each book's rows as an array."""
-    return table.groupBy(F.col("book").alias("doc_id")).agg(F.collect_list(F.struct(*columns)).alias(name))
+def polish_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, and the five ``COUNTERS``): margins go, dashes come back,
+    ornaments go, broken words are joined, headings are marked, in this order.
+
+    ``docs``: doc_id, text and the arrays ``lines`` (``LINE``), ``outline``
+    (``MARK``) and ``references`` (``REFERENCE``, one a page), each null or empty
+    where a document has none; ``line_no`` is unique on its page.  A null text
+    stays null, with zeros."""
+    marks = line_marks("lines").alias("lines"), F.transform("outline", outline_marks), F.transform("references", reference_marks)
+    return polish_marked(docs.select("doc_id", "text", marks[0], marks[1].alias("outline"), marks[2].alias("references")))
+
+
+def gathered(table: DataFrame, marks: Column, name: str) -> DataFrame:
+    """(doc_id, ``name``): each book's marks as an array."""
+    return table.select(F.col("book").alias("doc_id"), marks.alias("_m")).groupBy("doc_id").agg(F.collect_list("_m").alias(name))
 
 
 def polish(docs: DataFrame, lines: DataFrame, outline: DataFrame, references: DataFrame) -> DataFrame:
-    """``polish_rows`` of tables, each dealt out once, by document.
+    """``polish_rows`` of tables: the texts and the others' marks are dealt out
+    once, by document.
 
     ``docs``: doc_id (unique), text.  ``lines`` and ``outline``: as in
     ``cleanup.proposed_headings``, with doc_id as ``book``.  ``references``: book,
     page, text, one row a page; a page without a number has none.  All three may
     be empty."""
     x = docs.select("doc_id", "text")
-    for table, columns, name in ((lines, LINE, "lines"), (outline, MARK, "outline"), (references, REFERENCE, "references")):
-        x = x.join(gathered(table, columns, name), "doc_id", "left")
-    return polish_rows(x)
+    x = x.join(gathered(lines, line_marks(F.array(F.struct(*LINE)))[0], "lines"), "doc_id", "left")
+    x = x.join(gathered(outline, outline_marks(F.struct(*MARK)), "outline"), "doc_id", "left")
+    return polish_marked(x.join(gathered(references, reference_marks(F.struct(*REFERENCE)), "references"), "doc_id", "left"))
