@@ -19,7 +19,7 @@ end id.  Repeated rows are packed each; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import re
 import sys
 import zlib
 from array import array
@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +40,27 @@ WINDOW_ROWS = 200_000
 NODES = 2000
 #: Waste of a sequence, in parts of the mean left, whose fillings a pass tries first.
 SHARES = (4.0, 0.0, 0.5, 1.0, 2.0, 8.0, 16.0)
-#: Pre-tokens that a worker keeps, about; and that are encoded as one text.
+#: Pre-tokens that a worker keeps, about; longer ones are not kept.
 CACHE = 800_000
+LONG = 64
+#: Pre-tokens that are encoded as one text.
 JOINED = 64
-#: Marks that are taken off a chunk's end (no apostrophe: it may join letters).
+#: Bytes of text whose distinct chunks are looked up together, about.
+GROUP = 8 << 20
+#: Marks that begin a chunk after a letter or number (no apostrophe: it may join letters).
 MARKS = ".,;:!?%&$#*|<>()-"
+#: What a byte is to the cuts: a blank, a line feed, a mark, a letter or number, the
+#: first byte of a Latin-1 letter (all but two of its second bytes are letters).
+BLANK, FEED, MARK, WORD, LATIN = 1, 2, 3, 4, 5
+KINDS = bytes(
+    BLANK if c == 32
+    else FEED if c == 10
+    else LATIN if c == 0xC3
+    else MARK if chr(c) in MARKS
+    else WORD if c < 128 and chr(c).isalnum()
+    else 0
+    for c in range(256)
+)
 _LOADED: dict[str, tuple] = {}
 
 
@@ -53,8 +70,11 @@ def load(path: str):
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = False  # the library's default: special strings are special
-        special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _LOADED[path] = (t, [{}, {}], special, t.encode("\n", add_special_tokens=False).ids)
+        # not plain: two blanks or line feeds together, one at an end, other white space, a special string
+        space = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and c not in (10, 32))
+        special = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+        uneven = "|".join([rf"\A[ \n]|[ \n]\z|[ \n][ \n]|[{space}]", *special])
+        _LOADED[path] = (t, [{}, {}], uneven, t.encode("\n", add_special_tokens=False).ids)
     return _LOADED[path]
 
 
@@ -84,55 +104,95 @@ def pieces_of(parts: list[str], t, feed: int) -> list[bytes]:
     return out
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def chunks_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of plain texts one after the other, and at which chunk each text
+    begins (and the last one ends).
+
+    A chunk begins at every blank, at and after every line feed, and at a mark
+    after a letter or number: there a pre-token begins, whatever stands around."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    low, high = int(offsets[0]), int(offsets[-1])
+    data = texts.buffers()[2].slice(low, high - low) if high > low else pa.py_buffer(b"")
+    raw, starts = data.to_pybytes(), offsets - low
+    kind = np.frombuffer(raw.translate(KINDS), np.uint8)
+    begins = np.zeros(len(raw) + 1, bool)
+    feed, mark, word = kind == FEED, kind == MARK, kind == WORD
+    begins[:-1] = (kind == BLANK) | feed
+    begins[1:] |= feed
+    begins[1:-1] |= mark[1:] & word[:-1]
+    at = np.flatnonzero(mark[2:] & (kind[:-2] == LATIN))
+    second = np.frombuffer(raw, np.uint8)[at + 1]
+    begins[at[(second != 0x97) & (second != 0xB7)] + 2] = True
+    begins[starts] = True
+    cuts = np.flatnonzero(begins).astype(np.int32)
+    chunks = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data)
+    return chunks.dictionary_encode(), np.searchsorted(cuts, starts)
+
+
+def encoded(texts: pa.StringArray, path: str) -> list[memoryview | bytes]:
     """Each text's ids as little-endian 32-bit numbers.
 
-    A pre-token begins at every blank before a visible character and line feeds
-    between visible characters stand alone, so those chunks are encoded once
-    each and joined; marks after a letter or number begin another pre-token and
-    are encoded apart.  Any other text is encoded whole.  A worker's cache has two
-    generations: when the young one is full it becomes the old one, whose
-    chunks are taken over when they are met again."""
-    t, caches, special, line_feed = load(path)
+    Plain texts are words parted by single blanks or line feeds: their distinct
+    chunks are encoded once each and the ids put together by Arrow.  Any other
+    text is encoded whole.  A worker's cache has two generations: when the young
+    one is full it becomes the old one, whose chunks are taken over when they are
+    met again."""
+    t, caches, uneven, line_feed = load(path)
+    if not len(texts):
+        return []
+    texts = texts.cast(pa.string())
     if len(caches[0]) > CACHE // 2:
         caches[:] = [{}, caches[0]]
     young, old = caches
-    young[""], young["\n"] = b"", _raw(line_feed)
-    cut, fresh, whole = [], set(), []
-    for i, text in enumerate(texts):
-        # plain: words parted by single blanks or line feeds, no other white space
-        if "\x00" in text or " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in special):
-            whole.append(i)
-            cut.append(None)
-            continue
-        # a mark goes before each blank, so that it stays with its word
-        parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        fresh.update(itertools.filterfalse(young.__contains__, parts))
-        cut.append(parts)
-    again = list(filter(old.__contains__, fresh))
-    young.update(zip(again, map(old.__getitem__, again), strict=True))
-    fresh.difference_update(again)
-    ends: list[tuple[str, str, str]] = []
-    new = set()
-    for p in fresh:
-        word = p.rstrip(MARKS)
-        if len(word) < len(p) and word[-1:].isalnum():
-            mark = p[len(word) :]
-            ends.append((p, word, mark))
-            new.update(x for x in (word, mark) if x not in young)
+    young["\n"] = _raw(line_feed)
+    odd = pc.match_substring_regex(texts, uneven)
+    whole = pc.indices_nonzero(odd).to_pylist()
+    chunks, first = chunks_of(pc.if_else(odd, "", texts) if whole else texts)
+    words = chunks.dictionary.to_pylist()
+    raw = list(map(young.get, words))
+    new = []
+    for i in [i for i, x in enumerate(raw) if x is None]:
+        found = old.get(words[i])
+        if found is None:
+            new.append(i)
         else:
-            new.add(p)
-    order = list(new)
-    for i in range(0, len(order), 20_000):
-        some = order[i : i + 20_000]
-        young.update(zip(some, pieces_of(some, t, line_feed[0]), strict=True))
-    young.update((p, young[word] + young[mark]) for p, word, mark in ends)
-    out = [b"" if p is None else b"".join(map(young.__getitem__, p)) for p in cut]
+            raw[i] = young[words[i]] = found
+    for lo in range(0, len(new), 20_000):
+        some = new[lo : lo + 20_000]
+        for i, x in zip(some, pieces_of([words[i] for i in some], t, line_feed[0]), strict=True):
+            raw[i] = x
+            if len(words[i]) <= LONG:
+                young[words[i]] = x
+    ids = pa.array(raw, pa.large_binary()).take(chunks.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
+    view = memoryview(ids.buffers()[2] or b"")
+    out: list[memoryview | bytes] = [view[a:b] for a, b in zip(ends, ends[1:])]
     for i in whole:
-        out[i] = _raw(t.encode(texts[i], add_special_tokens=False).ids)
+        out[i] = _raw(t.encode(texts[i].as_py(), add_special_tokens=False).ids)
     return out
 
 
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """``encoded`` for a list."""
+    return [bytes(x) for x in encoded(pa.array(texts, pa.string()), path)]
+
+
+def grouped(batches):
+    """Batches put together up to about ``GROUP`` bytes."""
+    held: list[pa.RecordBatch] = []
+
+    def whole():
+        return batch_of(**{c: pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text")})
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GROUP:
+            yield whole()
+            held.clear()
+    if held:
+        yield whole()
+
+
 def cutter(path: str, size: int, end: int):
     """The worker's function: a row for each piece of a document."""
 
@@ -141,22 +201,20 @@ def cutter(path: str, size: int, end: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tail = _raw([end])
-        for batch in batches:
+        for batch in grouped(batches):
             at, piece, start, length, crc = [], [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for i, ids in enumerate(encode(texts[lo : lo + 256], path), lo):
-                    ids += tail
-                    n = len(ids) // 4
-                    s, k = 0, 0
-                    e = n % size or min(size, n)
-                    while s < n:
-                        at.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(e - s)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * e]))
-                        s, e, k = e, e + size, k + 1
+            for i, ids in enumerate(encoded(batch.column("text"), path)):
+                n = len(ids) // 4 + 1  # and the end id
+                s, k = 0, 0
+                e = n % size or min(size, n)
+                while s < n:
+                    at.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(e - s)
+                    here = zlib.crc32(ids[4 * s : 4 * e])
+                    crc.append(here if e < n else zlib.crc32(tail, here))
+                    s, e, k = e, e + size, k + 1
             yield batch_of(
                 doc_id=batch.column("doc_id").take(pa.array(at, pa.int64())),
                 piece=pa.array(piece, pa.int32()),

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -545,6 +546,52 @@ def test_packing_encodes_as_the_library(monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_looks_a_word_up_once_a_group(monkeypatch):
+    looked = Counter()
+
+    class Counted(dict):
+        def __contains__(self, key):
+            looked[key] += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            looked[key] += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            looked[key] += 1
+            return super().get(key, default)
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t, caches = packing.load(path)[:2]
+    monkeypatch.setitem(packing._LOADED, path, (t, [Counted(), {}], *packing.load(path)[2:]))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé×÷ñ") for _ in range(rng.randint(1, 8))) + rng.choice(["", ",", "%%"]) for _ in range(50)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(300)]
+    for text, raw in zip(texts, packing.encode(texts, path), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert max(looked.values()) <= 4  # each of the 50 words stands there about 240 times
+
+
+def test_packing_puts_batches_together(monkeypatch):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t = packing.load(path)[0]
+    monkeypatch.setattr(packing, "GROUP", 100)
+    texts = ["", "one two, three\nfour", " odd  text", "÷, ñ, ×%", "", "x" * 300, "a b " * 9 + "c", "é.", ""] * 7
+    rows = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    batches = [rows.slice(0, 0), *(rows.slice(k, 4) for k in range(0, len(texts), 4))]
+    got = pa.Table.from_batches(packing.cutter(path, 8, 2)(iter(batches))).to_pylist()
+    expected = []
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        s, e, k = 0, len(ids) % 8 or min(8, len(ids)), 0
+        while s < len(ids):
+            crc = zlib.crc32(ids[s:e].tobytes())
+            expected.append({"doc_id": i, "piece": k, "start": s, "length": e - s, "ids_crc32": crc})
+            s, e, k = e, e + 8, k + 1
+    assert got == expected
+
+
 @pytest.mark.parametrize("share", [1, exact_substrings.OFTEN])
 def test_exact_substrings_takes_a_context_once(spark, share):
     rng = random.Random(8)
