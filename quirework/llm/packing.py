@@ -46,7 +46,7 @@ LONG = 64
 #: Pre-tokens that are encoded as one text.
 JOINED = 64
 #: Bytes of text whose distinct chunks are looked up together, about.
-GROUP = 8 << 20
+GROUP = 4 << 20
 #: Marks that begin a chunk after a letter or number (no apostrophe: it may join letters).
 MARKS = ".,;:!?%&$#*|<>()-"
 #: What a byte is to the cuts: a blank, a line feed, a mark, a letter or number, the
@@ -116,10 +116,10 @@ def chunks_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
     raw, starts = data.to_pybytes(), offsets - low
     kind = np.frombuffer(raw.translate(KINDS), np.uint8)
     begins = np.zeros(len(raw) + 1, bool)
-    feed, mark, word = kind == FEED, kind == MARK, kind == WORD
+    feed, mark = kind == FEED, kind == MARK
     begins[:-1] = (kind == BLANK) | feed
     begins[1:] |= feed
-    begins[1:-1] |= mark[1:] & word[:-1]
+    begins[1:-1] |= mark[1:] & (kind[:-1] == WORD)
     at = np.flatnonzero(mark[2:] & (kind[:-2] == LATIN))
     second = np.frombuffer(raw, np.uint8)[at + 1]
     begins[at[(second != 0x97) & (second != 0xB7)] + 2] = True
@@ -179,18 +179,18 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
 def grouped(batches):
     """Batches put together up to about ``GROUP`` bytes."""
-    held: list[pa.RecordBatch] = []
 
-    def whole():
-        return batch_of(**{c: pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text")})
+    def whole(some):
+        return batch_of(**{c: pa.concat_arrays([b.column(c) for b in some]) for c in ("doc_id", "text")})
 
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
         if sum(b.nbytes for b in held) >= GROUP:
-            yield whole()
-            held.clear()
+            group, held = whole(held), []
+            yield group
     if held:
-        yield whole()
+        yield whole(held)
 
 
 def cutter(path: str, size: int, end: int):
