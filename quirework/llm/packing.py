@@ -40,7 +40,7 @@ WINDOW_ROWS = 200_000
 NODES = 2000
 #: Waste of a sequence, in parts of the mean left, whose fillings a pass tries first.
 SHARES = (4.0, 0.0, 0.5, 1.0, 2.0, 8.0, 16.0)
-#: Pre-tokens that a worker keeps, about; longer ones are not kept.
+#: Pre-tokens that a task keeps, about; longer ones are not kept.
 CACHE = 800_000
 LONG = 64
 #: Pre-tokens that are encoded as one text.
@@ -134,7 +134,7 @@ def encoded(texts: pa.StringArray, path: str) -> list[memoryview | bytes]:
 
     Plain texts are words parted by single blanks or line feeds: their distinct
     chunks are encoded once each and the ids put together by Arrow.  Any other
-    text is encoded whole.  A worker's cache has two generations: when the young
+    text is encoded whole.  The cache has two generations: when the young
     one is full it becomes the old one, whose chunks are taken over when they are
     met again."""
     t, caches, uneven, line_feed = load(path)
@@ -201,27 +201,31 @@ def cutter(path: str, size: int, end: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tail = _raw([end])
-        for batch in grouped(batches):
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoded(batch.column("text"), path)):
-                n = len(ids) // 4 + 1  # and the end id
-                s, k = 0, 0
-                e = n % size or min(size, n)
-                while s < n:
-                    at.append(i)
-                    piece.append(k)
-                    start.append(s)
-                    length.append(e - s)
-                    here = zlib.crc32(ids[4 * s : 4 * e])
-                    crc.append(here if e < n else zlib.crc32(tail, here))
-                    s, e, k = e, e + size, k + 1
-            yield batch_of(
-                doc_id=batch.column("doc_id").take(pa.array(at, pa.int64())),
-                piece=pa.array(piece, pa.int32()),
-                start=pa.array(start, pa.int64()),
-                length=pa.array(length, pa.int64()),
-                ids_crc32=pa.array(crc, pa.int64()),
-            )
+        try:
+            for batch in grouped(batches):
+                at, piece, start, length, crc = [], [], [], [], []
+                for i, ids in enumerate(encoded(batch.column("text"), path)):
+                    n = len(ids) // 4 + 1  # and the end id
+                    s, k = 0, 0
+                    e = n % size or min(size, n)
+                    while s < n:
+                        at.append(i)
+                        piece.append(k)
+                        start.append(s)
+                        length.append(e - s)
+                        here = zlib.crc32(ids[4 * s : 4 * e])
+                        crc.append(here if e < n else zlib.crc32(tail, here))
+                        s, e, k = e, e + size, k + 1
+                yield batch_of(
+                    doc_id=batch.column("doc_id").take(pa.array(at, pa.int64())),
+                    piece=pa.array(piece, pa.int32()),
+                    start=pa.array(start, pa.int64()),
+                    length=pa.array(length, pa.int64()),
+                    ids_crc32=pa.array(crc, pa.int64()),
+                )
+        finally:  # the worker stays for other tasks and operators, its cache does not
+            load(path)[1][:] = [{}, {}]
+            pa.default_memory_pool().release_unused()
 
     return work
 

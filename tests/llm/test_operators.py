@@ -590,6 +590,7 @@ def test_packing_puts_batches_together(monkeypatch):
             expected.append({"doc_id": i, "piece": k, "start": s, "length": e - s, "ids_crc32": crc})
             s, e, k = e, e + 8, k + 1
     assert got == expected
+    assert packing.load(path)[1] == [{}, {}]  # nothing stays in the worker
 
 
 @pytest.mark.parametrize("share", [1, exact_substrings.OFTEN])
