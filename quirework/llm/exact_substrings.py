@@ -23,6 +23,11 @@ question:
 Matches never cross documents; a null text is empty.  Repeated rows are
 copies of each other, so their windows repeat.  Rows are told apart by
 doc_id (may be null) and a hash of the text; other columns are ignored.
+
+Passages of ``OVER`` words (white space apart) that another document holds too
+may be shorter than ``width`` bytes.  They are not removed but told
+(``shares_passage``), by the same anchors over words: equal contexts first, then
+the windows of anchors that documents without such a context have.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ from pyspark.sql import functions as F
 from quirework.llm.common import batch_of, map_arrow, staged, table, text_of, utf8
 
 WIDTH, GRAM = 400, 64
+#: Words of a passage, and of the grams that are its anchors.
+OVER, WORD_GRAM = 51, 16
 #: Distinct contexts of an anchor that one task compares.
 HOT = 4096
 #: Windows a context that one task compares of an anchor with more contexts.
@@ -52,6 +59,8 @@ _VALUES = np.random.RandomState(400).randint(0, 1 << 63, 256, np.int64).astype(n
 _TOP = np.uint64(0xFFFFFFFF00000000)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POWERS: dict[str, np.ndarray] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +84,12 @@ class Hashes:
     """Hashes of any range of a byte string."""
 
     def __init__(self, raw: bytes):
-        x = np.frombuffer(raw, np.uint8)
-        up, self.down = powers(len(x) + 1)
-        self.sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_VALUES[x] * up[:-1], out=self.sums[1:])
+        self._sum(_VALUES[np.frombuffer(raw, np.uint8)])
+
+    def _sum(self, values: np.ndarray) -> None:
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -91,6 +102,27 @@ class Hashes:
         return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
+class WordHashes(Hashes):
+    """Hashes of any range of the words of some texts, without the texts of fewer
+    than ``least`` words: ``at`` names the texts, ``sizes`` their words."""
+
+    def __init__(self, texts: list[bytes], least: int):
+        raw = b" ".join(texts)
+        blank = np.ones(len(raw) + 2, bool)
+        blank[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        count = np.diff(np.searchsorted(starts, begins))
+        self.at = np.flatnonzero(count >= least)
+        self.sizes = count[self.at]
+        long_ = np.repeat(count >= least, count)
+        self.starts, self.ends = starts[long_], ends[long_]
+        self._sum(Hashes(raw).of(self.starts, self.ends))
+        base = np.repeat(begins[self.at], self.sizes)
+        self.starts, self.ends = self.starts - base, self.ends - base  # bytes in the word's own text
+
+
 def least_of(x: np.ndarray, w: int) -> np.ndarray:
     """The least of every w consecutive values."""
     done = 1
@@ -107,9 +139,16 @@ def runs_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
     if not at:
         return (np.empty(0, np.int64),) * 6
     sizes = np.array([len(texts[i]) for i in at], np.int64)
+    text, anchor, context, first, last, p = runs_in(Hashes(b"".join(texts[i] for i in at)), sizes, width, gram)
+    base = (np.cumsum(sizes) - sizes)[text]
+    return np.array(at, np.int64)[text], anchor, context, first - base, last - base, p - base
+
+
+def runs_in(hashes: Hashes, sizes: np.ndarray, width: int, gram: int):
+    """Runs over texts of some sizes that lie one after the other, as ``runs_of``
+    gives them, with places counted from the first text's start."""
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    hashes = Hashes(b"".join(texts[i] for i in at))
     h = hashes.grams(gram)
     key = (h & _TOP) | np.arange(len(h), dtype=np.uint64)
     for e in ends[:-1]:  # grams across a border
@@ -133,8 +172,7 @@ def runs_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
     anchor = h[p]
     around = hashes.of(first, last + width)
     context = mix(around + (p - first).astype(np.uint64) * np.uint64(_BASE) + (last - first).astype(np.uint64))
-    base = begins[text]
-    return np.array(at, np.int64)[text], anchor, context, first - base, last - base, p - base
+    return text, anchor, context, first, last, p
 
 
 def pieces(raws: list[bytes]):
@@ -169,6 +207,48 @@ def run_rows(width: int, gram: int):
     return work
 
 
+def word_run_rows(words: int, gram: int):
+    """Runs over words; s and e are bytes, those of the run's whole context."""
+
+    def work(batches):
+        for batch in batches:
+            for lo, some in pieces(batch.column("raw").to_pylist()):
+                hashes = WordHashes(some, words)
+                if not len(hashes.at):
+                    continue
+                i, a, c, s, e, p = runs_in(hashes, hashes.sizes, words, gram)
+                rows = pa.array(hashes.at[i] + lo)
+                yield batch_of(
+                    doc_id=batch.column("doc_id").take(rows),
+                    rid=batch.column("rid").take(rows),
+                    a=pa.array(a.view(np.int64)),
+                    c=pa.array(c.view(np.int64)),
+                    s=pa.array(hashes.starts[s].astype(np.int32)),
+                    e=pa.array(hashes.ends[e + words - 1].astype(np.int32)),
+                    p=pa.array((p - s).astype(np.int32)),
+                    first=pa.array(np.diff(i, prepend=-1) > 0),
+                )
+
+    return work
+
+
+def word_windows(words: int):
+    """The key of every window of ``words`` words of some contexts."""
+
+    def work(batches):
+        for batch in batches:
+            hashes = WordHashes(batch.column("ctx").to_pylist(), words)
+            n = hashes.sizes - words + 1
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) + row * (words - 1)
+            yield batch_of(
+                rid=batch.column("rid").take(pa.array(hashes.at[row])),
+                k=pa.array(hashes.of(at, at + words).view(np.int64)),
+            )
+
+    return work
+
+
 def context_rows(width: int):
     """The bytes of the contexts to compare, out of the documents' texts; a text
     that comes again in a task with the same doc_id is passed over."""
@@ -378,6 +458,7 @@ def cut_texts(batches):
             n_removed=pa.array(cols[1], pa.int64()),
             n_spans=pa.array(cols[2], pa.int64()),
             kept_sha256=pa.array(cols[3], pa.string()),
+            shares_passage=batch.column("shares"),
             kept=pa.array(cols[4], pa.binary()),
         )
 
@@ -494,32 +575,81 @@ def repeated_spans(
     return spans.join(F.broadcast(often), "rid", "left_anti").select("doc_id", "rid", "s", "e"), often
 
 
+def shared_passages(docs: DataFrame, words: int = OVER, gram: int = WORD_GRAM, share: int = OFTEN) -> DataFrame:
+    """(doc_id, rid) of the rows that hold ``words`` consecutive words that
+    another row holds too.  ``docs`` has doc_id, rid and raw."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {kind}, rid long, a long, c long, s int, e int, p int, first boolean"
+    long_docs = docs.where(F.octet_length("raw") >= 2 * words - 1)
+    runs = staged(map_arrow(long_docs, word_run_rows(words, gram), columns), "word-runs")
+    total = runs.count()
+    texts = runs.where("first").select("doc_id", "rid")  # every row has one
+    rows = texts.count()
+    copies = staged(texts.groupBy("rid").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "word-copies")
+    often = copies.where(F.col("k") * F.lit(share) > F.lit(rows)).select("rid")
+    several = (F.count(F.lit(1)).alias("n"), F.min("rid").alias("r0"), F.max("rid").alias("r1"))
+    twice = staged(runs.groupBy("a").agg(*several).where("r0 <> r1").select("a", "n"), "word-twice")
+    known = staged(join_counted(runs.drop("first"), twice, ["a"], "n", total, share).drop("n"), "word-known")
+    counts = staged(
+        known.groupBy("a", "c").agg(*several, F.min(F.struct("rid", "s", "e", "p", "doc_id")).alias("least")),
+        "word-counts",
+    )
+    alike = counts.where("r0 <> r1").select("a", "c", "n")
+    found = join_counted(known, alike, ["a", "c"], "n", total, share).select("rid")
+    found = staged(found.unionByName(copies.select("rid")).distinct(), "word-found")
+    # texts that share no whole context: their anchors' windows are compared
+    asking = counts.where("r0 = r1").join(found.withColumnRenamed("rid", "r0"), "r0", "left_anti").select("a").distinct()
+    contexts = contexts_to_compare(long_docs, counts.join(asking, "a", "left_semi"), often, 0)
+    windows = staged(
+        map_arrow(contexts.select("rid", "ctx"), word_windows(words), "rid long, k long").distinct(), "word-windows"
+    )
+    same = staged(windows.groupBy("k").agg(*several).where("r0 <> r1").select("k", "n"), "word-same")
+    more = join_counted(windows, same, ["k"], "n", windows.count(), share).select("rid").distinct()
+    alone = found.unionByName(more).distinct().join(copies, "rid", "left_anti")
+    return join_counted(texts, copies, ["rid"], "k", rows, share).select("doc_id", "rid").unionByName(
+        texts.join(alone, "rid", "left_semi").select("doc_id", "rid")
+    )
+
+
 def exact_substring_dedup(
     docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, share: int = OFTEN
 ) -> DataFrame:
-    """What is kept of every document, with counts and its hash."""
+    """What is kept of every document, with counts and its hash; ``shares_passage``
+    is 1 if the document holds ``OVER`` words that another row holds too, else 0."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("rid"), utf8().alias("raw"))
+    shared = staged(shared_passages(rows, share=share), "shared")
     spans, often = repeated_spans(rows, width, gram, hot, share)
+    none = F.lit(None).cast("struct<s: int, e: int>")
     by_doc = (
-        spans.groupBy("doc_id", "rid")
-        .agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        spans.select("doc_id", "rid", F.struct("s", "e").alias("x"), F.lit(0).alias("shares"))
+        .unionByName(shared.select("doc_id", "rid", none.alias("x"), F.lit(1).alias("shares")))
+        .groupBy("doc_id", "rid")
+        .agg(F.collect_set("x").alias("spans"), F.max("shares").alias("shares"))
         .withColumnsRenamed({"doc_id": "_d", "rid": "_r"})
     )
-    # texts shorter than a window and texts that very many rows share stay where they are
-    short, long_ = rows.where(F.octet_length("raw") < width), rows.where(F.octet_length("raw") >= width)
+    # texts too short for either and texts that very many rows share stay where they are
+    least = min(width, 2 * OVER - 1)
+    short, long_ = rows.where(F.octet_length("raw") < least), rows.where(F.octet_length("raw") >= least)
     whole = F.array(F.struct(F.lit(0).alias("s"), F.octet_length("raw").alias("e")))
-    none = F.lit(None).cast("array<struct<s: int, e: int>>")
+    whole_shares = often.join(shared.select("rid").distinct(), "rid", "left_semi").withColumn("shares", F.lit(1))
+    whole_shares = often.join(F.broadcast(whole_shares), "rid", "left")
     joined = long_.join(F.broadcast(often), "rid", "left_anti").join(
         by_doc, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left"
     )
     every = (
-        joined.select("doc_id", "raw", "spans")
-        .unionByName(short.select("doc_id", "raw", none.alias("spans")))
-        .unionByName(long_.join(F.broadcast(often), "rid", "left_semi").select("doc_id", "raw", whole.alias("spans")))
+        joined.select("doc_id", "raw", "spans", "shares")
+        .unionByName(
+            short.select("doc_id", "raw", F.lit(None).cast("array<struct<s: int, e: int>>").alias("spans"), F.lit(0).alias("shares"))
+        )
+        .unionByName(
+            long_.join(F.broadcast(whole_shares), "rid").select("doc_id", "raw", whole.alias("spans"), "shares")
+        )
     )
     return map_arrow(
-        every, cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        every.withColumn("shares", F.coalesce("shares", F.lit(0)).cast("long")),
+        cut_texts,
+        f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage long, kept binary",
     )
 
 

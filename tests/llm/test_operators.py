@@ -628,6 +628,46 @@ def test_exact_substrings_takes_a_context_once(spark, share):
         assert r.n_removed == sum(cover)
 
 
+@pytest.mark.parametrize(("words", "gram", "share"), [(5, 2, exact_substrings.OFTEN), (51, 16, exact_substrings.OFTEN), (51, 16, 1)])
+def test_shared_passages_against_brute_force(docs, words, gram, share):
+    owners = defaultdict(set)
+    for k, (_, t) in enumerate(every()):
+        w = t.encode().split()
+        for j in range(len(w) - words + 1):
+            owners[tuple(w[j : j + words])].add(k)
+    hit = {k for x in owners.values() if len(x) > 1 for k in x}
+    expected = Counter((i, t) for k, (i, t) in enumerate(every()) if k in hit)
+    rows = docs.select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"), F.coalesce("text", F.lit("")).cast("binary").alias("raw")
+    )
+    got = exact_substrings.shared_passages(rows, words, gram, share)
+    texts = {r.rid: bytes(r.raw).decode() for r in rows.select("rid", "raw").collect()}
+    assert Counter((r.doc_id, texts[r.rid]) for r in got.collect()) == expected
+
+
+def test_exact_substrings_tells_passages_of_over_50_words(spark):
+    rng = random.Random(51)
+
+    def made(n):
+        return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+
+    short, close, own = made(51), made(50), made(60)  # under 400 bytes each
+    texts = [
+        " ".join(made(90) + short + made(40)),
+        " ".join(made(10)) + "\n" + "\n\t".join(short) + " " + " ".join(made(300)),  # other white space
+        " ".join(made(80) + close + made(30)),
+        " ".join(made(20) + close + made(70)),
+        " ".join(own + made(30) + own),  # twice in one document
+        " ".join(short),
+        " ".join(short[:50]),
+        None,
+    ]
+    got = exact_substrings.exact_substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: (r.shares_passage, r.n_removed) for r in got.collect()} == {
+        k: (int(k in (0, 1, 5)), 0) for k in range(len(texts))
+    }
+
+
 def test_votes_against_brute_force():
     rng = np.random.RandomState(2)
     rows = np.zeros((90, quality_knn.TERMS + quality_knn.FORMS), np.float32)
