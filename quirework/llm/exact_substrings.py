@@ -600,8 +600,10 @@ def shared_passages(docs: DataFrame, words: int = OVER, gram: int = WORD_GRAM, s
     # texts that share no whole context: their anchors' windows are compared
     asking = counts.where("r0 = r1").join(found.withColumnRenamed("rid", "r0"), "r0", "left_anti").select("a").distinct()
     contexts = contexts_to_compare(long_docs, counts.join(asking, "a", "left_semi"), often, 0)
+    # staged, so that no task has two Python workers at once (idle ones keep their memory)
+    contexts = staged(contexts.select("rid", "ctx"), "word-contexts")
     windows = staged(
-        map_arrow(contexts.select("rid", "ctx"), word_windows(words), "rid long, k long").distinct(), "word-windows"
+        map_arrow(contexts, word_windows(words), "rid long, k long").distinct(), "word-windows"
     )
     same = staged(windows.groupBy("k").agg(*several).where("r0 <> r1").select("k", "n"), "word-same")
     more = join_counted(windows, same, ["k"], "n", windows.count(), share).select("rid").distinct()
