@@ -52,7 +52,7 @@ BLOCK = 16
 #: rows, are joined by broadcast.
 OFTEN = 4096
 #: Bytes that are hashed at once (a longer text goes alone).
-PIECE = 1 << 21
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.RandomState(400).randint(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
